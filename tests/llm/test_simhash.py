@@ -29,7 +29,7 @@ def slow_components(prints):
     ids = sorted(prints)
     for i in ids:
         for j in ids:
-            if i < j and (prints[i] ^ prints[j]).bit_count() <= 2:
+            if i < j and ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 2:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: find(i) for i in ids}
