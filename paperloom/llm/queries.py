@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, mixing, sharding, simhash
+from paperloom.llm import chat, decontamination, mixing, sharding, simhash, topk, warc
 from paperloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from paperloom.llm.shared import materialize
 
@@ -41,12 +41,31 @@ def op2_sharding(spark, sf_dir):
     )
 
 
+@_query
+def op3_topk(spark, sf_dir):
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op6_chat(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(materialize(chat.format_conversations(turns.unionByName(own))))
+
+
 @_query
 def op7_mixing(spark, sf_dir):
     sized = materialize(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
     return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query
+def op8_warc(spark, sf_dir):
+    bundles = materialize(warc.write_bundles(_table(spark, sf_dir, "pages")))
+    return warc.read_bundles(bundles, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op9_decontamination(spark, sf_dir):
     found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
