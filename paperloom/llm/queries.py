@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontamination, mixing, sharding, simhash, topk, warc
+from paperloom.llm import chat, decontamination, mixing, quality, sharding, simhash, topk, toxicity, warc
 from paperloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from paperloom.llm.shared import materialize
 
@@ -46,6 +46,25 @@ def op3_topk(spark, sf_dir):
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def _fold(doc_id, folds: int):
+    """Remainder of the CRC-32 of the id as text; a null id counts as 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % folds
+
+
+@_query
+def op4_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = toxicity.toxicity(docs.select("doc_id", "text"), labels, lambda doc_id: _fold(doc_id, 5) != 0)
+    return found.select("doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op5_quality(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = quality.quality(docs.select("doc_id", "text"), labels, lambda doc_id: _fold(doc_id, 4) != 2)
+    return found.select("doc_id", (_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @_query
 def op6_chat(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
