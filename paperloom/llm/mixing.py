@@ -83,26 +83,42 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
     """Every row of docs with source_size, target, taken (words the mix takes of it) and copies (times it is emitted whole).
 
     Only (source, bucket) sums are gathered; a source with a third of all rows is ordered in 4096 buckets. Null sources
-    are a source of their own, null or empty texts have size 0 and nothing is taken of them, repeated rows are taken one
+    are a source of their own, a column of docs that has the name of a new one is replaced, null or empty texts have size 0 and nothing is taken of them, repeated rows are taken one
     by one, and an empty table gives an empty result. The same seed gives the same mix. `docs` should be cheap to read
     twice (a table, not a long plan).
     """
-    keyed = docs.withColumn("g", group_key(source_col)).withColumn("_h", shuffle_key(seed, id_col)).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS)).withColumn("_source", F.col(source_col).cast("string")).withColumn("_size", F.col(size_col).cast("long"))
+    keyed = docs.select(
+        F.struct("*").alias("_row"),
+        group_key(source_col).alias("g"),
+        shuffle_key(seed, id_col).alias("_h"),
+        F.col(id_col).alias("_id"),
+        F.col(source_col).cast("string").alias("_source"),
+        F.col(size_col).cast("long").alias("_size"),
+    ).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
     sizes = keyed.groupBy("g").agg(F.first("_source").alias("source"), F.sum("_size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, most))
     given = shard_quotas(targets, block_words, shards).groupBy("g").agg(F.max("upto").alias("_blocks"))
     plan = materialize(
         targets.join(given, "g").select("g", "target", F.least(F.col("_blocks") * block_words, F.col("source_size") * most).alias("_words"))
     )
-    placed = with_running_total(keyed, "g", "_bucket", "_size", ["_h", id_col, "_size"], "_before", "source_size")
+    placed = with_running_total(keyed, "g", "_bucket", "_size", ["_h", "_id", "_size"], "_before", "source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("_words") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("_words") - whole * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("_before"), F.lit(0)), F.col("_size"))
     taken = whole * F.col("_size") + part
     copies = whole + F.when(part > 0, 1).otherwise(0)
-    return (
-        placed.join(plan, "g")
-        .withColumn("taken", taken.cast("long"))
-        .withColumn("copies", F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("int"))
-        .drop("g", "_h", "_bucket", "_source", "_size", "_before", "_words")
+    added = {
+        "source_size": F.col("source_size"),
+        "target": F.col("target"),
+        "taken": taken.cast("long"),
+        "copies": F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("int"),
+    }
+    return placed.join(plan, "g").select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()]
     )
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mix as documents in the same columns: a document as often as it is taken, one taken in part counting whole."""
+    mixed = mix(docs.withColumn("_words", word_count(text_col)), "_words", **options).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

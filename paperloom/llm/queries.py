@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontamination, mixing, quality, sharding, simhash, topk, toxicity, warc
+from paperloom.llm import chat, decontamination, lines, mixing, quality, sharding, simhash, topk, toxicity, warc
 from paperloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from paperloom.llm.shared import materialize
 
@@ -96,3 +96,8 @@ def op9_decontamination(spark, sf_dir):
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@_query
+def op10_line_dedup(spark, sf_dir):
+    return lines.line_report(_table(spark, sf_dir, "documents"))

@@ -22,15 +22,16 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: str = "shard-1", id_
     A source's rank is counted in 4096 seeded buckets and the final order in 4096 ranges of the fractional rank; only
     counts are gathered. Each source starts at its own seeded offset, so that many small sources don't fall on the same
     rank. Null sources are a source of their own, null ids and repeated rows are ordinary rows, and an empty table gives
-    an empty result.
+    an empty result; columns of docs named shard or slot are replaced.
     """
-    keyed = (
-        docs.withColumn("_g", group_key(source_col))
-        .withColumn("_h", shuffle_key(seed, id_col))
-        .withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
-        .withColumn("_one", F.lit(1).cast("long"))
-    )
-    ranked = with_running_total(keyed, "_g", "_bucket", "_one", ["_h", id_col], "_rank", "_n")
+    keyed = docs.select(
+        F.struct("*").alias("_row"),
+        group_key(source_col).alias("_g"),
+        shuffle_key(seed, id_col).alias("_h"),
+        F.col(id_col).alias("_id"),
+        F.lit(1).cast("long").alias("_one"),
+    ).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+    ranked = with_running_total(keyed, "_g", "_bucket", "_one", ["_h", "_id"], "_rank", "_n")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_g")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     at = ranked.withColumn("_at", (F.col("_rank") + offset) / F.col("_n")).withColumn("_range", F.least(F.floor(F.col("_at") * RANGES), F.lit(RANGES - 1)).cast("int"))
     counts = at.groupBy("_range").agg(F.count("*").alias("_count"))
@@ -40,12 +41,16 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: str = "shard-1", id_
         F.coalesce(F.sum("_count").over(rising), F.lit(0)).alias("_start"),
         F.sum("_count").over(Window.partitionBy(F.lit(0))).alias("_all"),
     )
-    inner = Window.partitionBy("_range").orderBy("_at", "_g", "_h", id_col)
+    inner = Window.partitionBy("_range").orderBy("_at", "_g", "_h", "_id")
     place = F.col("_start") + F.row_number().over(inner) - 1
+    shard = F.expr(f"(_place * {shards}) div _all")
     return (
         at.join(starts, "_range")
         .withColumn("_place", place)
-        .withColumn("shard", F.expr(f"(_place * {shards}) div _all").cast("int"))
-        .withColumn("slot", F.col("_place") - F.expr(f"(shard * _all + {shards - 1}) div {shards}"))
-        .drop("_g", "_h", "_bucket", "_one", "_rank", "_n", "_at", "_range", "_start", "_all", "_place")
+        .withColumn("_shard", shard)
+        .select(
+            *[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")],
+            F.col("_shard").cast("int").alias("shard"),
+            (F.col("_place") - F.expr(f"(_shard * _all + {shards - 1}) div {shards}")).alias("slot"),
+        )
     )

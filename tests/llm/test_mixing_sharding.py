@@ -84,6 +84,20 @@ def test_shards(spark):
     assert again == {(r["doc_id"], r["source"], r["slot_size"]): (r["shard"], r["slot"]) for r in got}
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 5, "g", "t", 9, "h")], "doc_id long, source string, size long, g string, target string, slot int, _h string")
+    row = mixing.mix(docs, "size").first()
+    assert (row["g"], row["_h"], row["slot"], row["target"]) == ("g", "h", 9, 7.5)
+    row = sharding.shard_rows(docs).first()
+    assert (row["g"], row["_h"], row["slot"], row["target"]) == ("g", "h", 0, "t")
+
+
+def test_mixed_documents(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d", "y"), (3, None, "y")], "doc_id long, text string, source string")
+    got = Counter(r["doc_id"] for r in mixing.mixed_documents(docs, block_words=1).collect())
+    assert got == {1: 2, 2: 1} or got == {1: 2, 2: 2}
+
+
 def test_shards_small_and_many_sources(spark):
     assert sharding.shard_rows(spark.createDataFrame([], "doc_id long, source string")).count() == 0
     got = sharding.shard_rows(spark.createDataFrame([(i, f"only{i}") for i in range(50)], "doc_id long, source string"), shards=4)
