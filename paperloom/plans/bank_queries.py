@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import bank_merge, library, profile, scoring, sequence, storage, support
+from paperloom.operators import bank_merge, library, profile, review, scoring, sequence, storage, support
 from paperloom.sources import backup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,3 +391,71 @@ def s14_box_overlap(spark, sf_dir):
 @query("SELECT page_id, CASE lower(regexp_extract(url, '([^.]*)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' ELSE 'unknown' END AS kind FROM pages")
 def a8_file_type(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", backup.file_type("url").alias("kind"))
+
+
+@query(
+    _I
+    + """, l AS (SELECT doc_id, list(number ORDER BY ordinal) AS a FROM i GROUP BY doc_id),
+r AS (SELECT doc_id, CASE WHEN len(a) < 2 THEN 'too-few-questions' WHEN len(list_distinct(a)) < len(a) THEN 'duplicate-number'
+  WHEN len(list_filter(range(1, len(a)), lambda j: a[j + 1] <= a[j])) > 0 THEN 'not-increasing' WHEN len(list_filter(range(1, len(a)), lambda j: a[j + 1] != a[j] + 1)) > 0 THEN 'not-contiguous' ELSE '' END AS reason FROM l)
+SELECT doc_id, reason, reason = '' AS authoritative FROM r"""
+)
+def d4_skeleton_authority(spark, sf_dir):
+    return review.skeleton_authority(sequence.number_lists(_items(spark, sf_dir), "a")).drop("a")
+
+
+@query(
+    _I
+    + """, c AS (SELECT doc_id, number, arg_max(ordinal, ordinal) AS id FROM i GROUP BY doc_id, number), e AS (SELECT o_orderkey AS doc_id, k AS number FROM orders, unnest(generate_series(1, 3)) AS s(k)),
+p AS (SELECT e.doc_id, e.number, id, max(CASE WHEN id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY e.doc_id ORDER BY e.number) AS gap FROM e LEFT JOIN c USING (doc_id, number)),
+t AS (SELECT *, max(gap) OVER (PARTITION BY doc_id) = 1 AS prefix_truncated FROM p) SELECT doc_id, number, id, prefix_truncated FROM t WHERE gap = 0"""
+)
+def c17_candidate_intake(spark, sf_dir):
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("number")).withColumn("ordinal", F.col("number"))
+    return review.candidate_intake(_items(spark, sf_dir).withColumn("id", F.col("ordinal")), expected)
+
+
+@query(
+    _I
+    + """, q AS (SELECT DISTINCT doc_id, number FROM i) SELECT doc_id, number, CASE WHEN EXISTS (SELECT 1 FROM i WHERE i.doc_id = q.doc_id AND i.number = q.number AND l_quantity > 45) THEN 'rejected'
+  WHEN number > 5 THEN 'fused' ELSE 'not-collected' END AS reason FROM q WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = q.doc_id AND i.number = q.number AND l_returnflag = 'R')"""
+)
+def d8_missing_solution_reasons(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return review.missing_solution_reasons(items, items.where("l_returnflag = 'R'"), items.where("l_quantity > 45"), items.where("number > 5"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(text, '\\\\[A-Za-z]+|[A-Za-z0-9]+|[{}_^]|[^\\s]')) AS t FROM conversations WHERE role IN ('user', 'assistant')),
+b AS (SELECT conv_id, t, count(*) FILTER (role = 'user') AS n, count(*) FILTER (role = 'assistant') AS m FROM w GROUP BY conv_id, t),
+s AS (SELECT conv_id, sum(least(n, m)) AS k, sum(n) AS n, sum(m) AS m FROM b GROUP BY conv_id),
+r AS (SELECT conv_id, CASE WHEN m > 0 THEN k / m WHEN n > 0 THEN 0 ELSE 1 END::DOUBLE AS precision, CASE WHEN n > 0 THEN k / n WHEN m > 0 THEN 0 ELSE 1 END::DOUBLE AS recall FROM s)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r"""
+)
+def s25_token_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", review.latex_tokens("text").alias("tokens"))
+    return review.token_scores(rows.where("role = 'user'"), rows.where("role = 'assistant'"), "conv_id")
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, 1 AS page, l_linenumber % 2 AS col, l_quantity AS y1, l_quantity + l_discount * 100 AS y2, l_tax AS x1, l_returnflag = 'R' AS anchor, l_returnflag FROM lineitem),
+c AS (SELECT *, (y1 + y2) / 2 AS c FROM b WHERE l_returnflag != 'N'), m AS (SELECT doc_id, col, max(c) OVER (PARTITION BY doc_id, col ORDER BY y1, x1, id) AS mc FROM c WHERE anchor),
+g AS (SELECT c.*, (SELECT count(*) FROM m WHERE m.doc_id = c.doc_id AND m.col = c.col AND m.mc <= c.c) - 1 AS anchor_group FROM c)
+SELECT doc_id, id, anchor_group, row_number() OVER (PARTITION BY doc_id ORDER BY col, anchor_group, anchor DESC, y1, x1, id)::INT AS position FROM g"""
+)
+def e2_reading_order(spark, sf_dir):
+    y = F.col("l_quantity")
+    blocks = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.row_number().over(sequence_window()).alias("id"), F.lit(1).alias("page"), (F.col("l_linenumber") % 2).alias("column"), F.lit(0).alias("order"),
+        F.when(F.col("l_returnflag") == "N", "footer").otherwise("text").alias("type"), F.col("l_tax").alias("x1"), y.alias("y1"), F.col("l_tax").alias("x2"), (y + F.col("l_discount") * 100).alias("y2"), (F.col("l_returnflag") == "R").alias("is_anchor"),
+    )
+    return review.reading_order(blocks).select("doc_id", "id", "anchor_group", "position")
+
+
+@query(
+    """SELECT o_orderkey AS source_id, 1 AS page, CASE WHEN s.o_orderkey IS NOT NULL THEN 0 END AS blocks_difference, CASE WHEN s.o_orderkey IS NOT NULL THEN (p.o_totalprice * 2) - p.o_totalprice END AS score_delta, false AS conflict, s.o_orderkey IS NULL AS fallback
+FROM orders p LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus != 'F') s USING (o_orderkey)"""
+)
+def d13_shadow_comparison(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.lit(1).alias("page"), F.length("o_orderpriority").alias("blocks"), F.col("o_totalprice").alias("score"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("status"))
+    return review.shadow_comparison(rows.drop("status"), rows.withColumn("score", F.col("score") * 2), ["blocks"], ["score"])
