@@ -10,6 +10,17 @@ from paperloom.functions.text import core_fingerprint, has_text, same_text, stem
 FILLED = ("answer", "solution", "knowledge")
 
 
+def _keyed(bank: DataFrame) -> DataFrame:
+    """The bank with digests of its stem and core fingerprints; an empty fingerprint is null and so joins nothing."""
+    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    texts = bank.withColumn("_stem", stem_fingerprint("stem")).withColumn("_rest", core_fingerprint(F.lit(""), "options"))
+    return (
+        texts.withColumn("_core", F.when((F.col("_stem") != "") | (F.col("_rest") != "__"), digest(F.concat("_stem", "_rest"))))
+        .withColumn("_stem", F.when(F.col("_stem") != "", digest(F.col("_stem"))))
+        .drop("_rest")
+    )
+
+
 def merge_plan(incoming: DataFrame, own: DataFrame) -> DataFrame:
     """(id, own_id, status, action) for each incoming question.
 
@@ -17,11 +28,10 @@ def merge_plan(incoming: DataFrame, own: DataFrame) -> DataFrame:
     solution or knowledge that the incoming one has, else existing; a stem match alone is similar, and no match is new.
     Of several own rows with a fingerprint the smallest id counts. Empty fingerprints never match.
     """
-    keyed = lambda df: df.withColumn("_core", core_fingerprint("stem", "options")).withColumn("_stem", stem_fingerprint("stem"))
-    mine = keyed(own)
-    core = mine.where("_core != '__'").groupBy("_core").agg(F.min(F.struct("id", *FILLED)).alias("c"))
-    stem = mine.where("_stem != ''").groupBy("_stem").agg(F.min("id").alias("stem_id"))
-    joined = keyed(incoming).join(core, "_core", "left").join(stem, "_stem", "left")
+    mine = _keyed(own)
+    core = mine.where("_core IS NOT NULL").groupBy("_core").agg(F.min(F.struct("id", *FILLED)).alias("c"))
+    stem = mine.where("_stem IS NOT NULL").groupBy("_stem").agg(F.min("id").alias("stem_id"))
+    joined = _keyed(incoming).join(core, "_core", "left").join(stem, "_stem", "left")
     conflict = has_text("answer") & has_text(F.col("c.answer")) & ~same_text("answer", F.col("c.answer"))
     fill = F.lit(False)
     for name in FILLED:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import has_text, trimmed
@@ -90,17 +90,21 @@ def knowledge_label(kind: str, meta: str = "meta_knowledge", own: str = "knowled
 def first_duplicate(rows: DataFrame, fingerprint: Callable[[], Column], id_col: str = "id", ordinal: str = "ordinal", empty: str = "__") -> DataFrame:
     """(id, duplicate_of): for each row the first other row with its fingerprint; the empty fingerprint never matches.
 
-    The first and second row of a key are found by two aggregations, so a key with very many rows needs no window.
+    Keys travel as digests. The first two rows of a key are found by a limited window, which drops all further rows of
+    a key before the shuffle.
     """
-    keyed = rows.select(F.col(id_col).alias("id"), F.col(ordinal).alias("o"), fingerprint().alias("k")).where((F.col("k") != empty) & (F.col("k") != ""))
-    first = keyed.groupBy("k").agg(F.min(F.struct("o", "id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "first")
-    joined = keyed.join(first, "k")
-    second = joined.where("id != first.id").groupBy("k").agg(F.min(F.struct("o", "id")).alias("second"))
-    both = joined.join(second, "k")
-    return both.select("id", F.when(F.col("id") != F.col("first.id"), F.col("first.id")).otherwise(F.col("second.id")).alias("duplicate_of"))
+    keyed = _keyed(rows.select(F.col(id_col).alias("id"), F.col(ordinal).alias("o"), fingerprint().alias("k")), empty)
+    place = F.row_number().over(Window.partitionBy("k").orderBy("o", "id"))
+    top = keyed.withColumn("r", place).where("r <= 2").groupBy("k").agg(F.min_by("id", "r").alias("first"), F.max_by("id", "r").alias("second"), F.count("*").alias("n")).where("n = 2")
+    return keyed.join(top, "k").select("id", F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second")).alias("duplicate_of"))
+
+
+def _keyed(rows: DataFrame, empty: str) -> DataFrame:
+    """rows with the key k, if it isn't empty, as its SHA-256 digest."""
+    return rows.where((F.col("k") != empty) & (F.col("k") != "")).withColumn("k", F.unhex(F.sha2(F.col("k").cast("binary"), 256)))
 
 
 def duplicate_groups(rows: DataFrame, fingerprint: Callable[[], Column], id_col: str = "id", empty: str = "__") -> DataFrame:
     """(keep_id, copies) of every fingerprint that at least two rows share; the smallest id is kept."""
-    keyed = rows.select(F.col(id_col).alias("id"), fingerprint().alias("k")).where((F.col("k") != empty) & (F.col("k") != ""))
+    keyed = _keyed(rows.select(F.col(id_col).alias("id"), fingerprint().alias("k")), empty)
     return keyed.groupBy("k").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1").select("keep_id", "copies")
