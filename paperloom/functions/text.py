@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The white space that trimming removes, as a character class body.
 SPACE = "\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+_BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 #: Punctuation that comparisons ignore.
 IGNORED = "，。；：、,.．"
 
@@ -26,8 +27,8 @@ def has_text(c: str | Column) -> Column:
 
 def compare_text(c: str | Column) -> Column:
     """What two texts must share to count as loosely equal: no blanks, sizing commands or punctuation, narrow brackets and A-D, lower case."""
-    plain = F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), f"\\\\left|\\\\right|[{SPACE}]+|[{IGNORED}]", "")
-    return F.lower(F.translate(plain, "（）ＡＢＣＤ", "()ABCD"))
+    plain = F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), "\\\\left|\\\\right", "")
+    return F.lower(F.translate(plain, "（）ＡＢＣＤ" + _BLANKS + IGNORED, "()ABCD"))
 
 
 def same_text(a: str | Column, b: str | Column) -> Column:
