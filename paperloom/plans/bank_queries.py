@@ -110,12 +110,12 @@ _PLAIN = "regexp_replace(regexp_replace(lower(coalesce({0}, '')), '\\\\left|\\\\
 
 
 @query(
-    f"""WITH k AS (SELECT doc_id AS id, {_PLAIN.format('text')} AS k FROM documents WHERE doc_id % 2 = 0), f AS (SELECT * FROM k WHERE k != ''),
+    f"""WITH k AS (SELECT doc_id AS id, {_PLAIN.format('text')} AS k FROM documents), f AS (SELECT * FROM k WHERE k != ''),
 r AS (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY id) AS r, count(*) OVER (PARTITION BY k) AS n FROM f)
 SELECT a.id, b.id AS duplicate_of FROM r a JOIN r b ON a.k = b.k AND b.r = CASE WHEN a.r = 1 THEN 2 ELSE 1 END WHERE a.n > 1"""
 )
 def f1_first_duplicate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), "text")
     return library.first_duplicate(docs, lambda: T.stem_fingerprint("text"))
 
 
@@ -364,9 +364,9 @@ def g12_replace_batch(spark, sf_dir):
     return storage.replace_batch(stored, new)
 
 
-@query(f"SELECT doc_id, {_PLAIN.format('text')} AS fingerprint FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_PLAIN.format('text')} AS fingerprint FROM documents")
 def s17_compare_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.compare_text("text").alias("fingerprint"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.compare_text("text").alias("fingerprint"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_extract(url, '[0-9]{1,3}') = '' THEN '' ELSE ltrim(regexp_extract(url, '[0-9]{1,3}'), '0') END AS number FROM pages")
