@@ -165,13 +165,13 @@ def a5_page_texts(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT l_orderkey AS archive, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal, 'word/' || CASE WHEN l_tax > 0.05 THEN 'a b' ELSE 'p' || l_partkey END || CASE WHEN l_returnflag = 'R' THEN '.docx' ELSE '.xml' END AS name, l_quantity::BIGINT * 100 AS packed, (l_extendedprice * 10)::BIGINT AS size FROM lineitem),
+    """WITH e AS (SELECT l_orderkey AS archive, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal, 'word/' || CASE WHEN l_tax > 0.05 THEN 'a b' ELSE 'p' || l_partkey END || CASE WHEN l_returnflag = 'R' THEN '.docx' ELSE '.xml' END AS name, l_quantity::BIGINT * 1000 AS packed, round(l_extendedprice * 100)::BIGINT AS size FROM lineitem),
 c AS (SELECT *, CASE WHEN name LIKE '%.docx' THEN 'ARCHIVE_NESTED_ARCHIVE' WHEN contains(name, ' ') THEN 'ARCHIVE_ENTRY_NOT_ALLOWED' WHEN size / packed > 200 THEN 'ARCHIVE_COMPRESSION_RATIO_LIMIT' END AS code FROM e)
 SELECT archive, coalesce(arg_min(code, ordinal) FILTER (code IS NOT NULL), 'ARCHIVE_ACCEPTED') AS code, count(*) AS entry_count, sum(size)::BIGINT AS total_bytes, count(code) = 0 AS ok FROM c GROUP BY archive"""
 )
 def a7_archive_policy(spark, sf_dir):
     name = F.concat(F.lit("word/"), F.when(F.col("l_tax") > 0.05, "a b").otherwise(F.concat(F.lit("p"), "l_partkey")), F.when(F.col("l_returnflag") == "R", ".docx").otherwise(".xml"))
-    entries = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("archive"), F.row_number().over(sequence_window()).alias("ordinal"), name.alias("name"), (F.col("l_quantity").cast("long") * 100).alias("compressed"), F.round(F.col("l_extendedprice") * 10).cast("long").alias("uncompressed"))
+    entries = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("archive"), F.row_number().over(sequence_window()).alias("ordinal"), name.alias("name"), (F.col("l_quantity").cast("long") * 1000).alias("compressed"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("uncompressed"))
     return packages.check_archives(entries, "office-document")
 
 
