@@ -43,11 +43,13 @@ def controlled_write(
     joined = met.join(draft, key, "left").select(
         *key, "la", "pa", "ls", "ps", F.col("_d")["kind"].alias("kind"), F.coalesce(F.col("_d")["options"], A.labelled_options(F.expr("cast(null as array<string>)"))).alias("options")
     )
-    tried = joined.withColumn("_n", A.option_labels("pa", "kind", F.col("options")))
-    tried = tried.withColumn("_c", A.answer_quality("pa", F.transform("options", lambda o: o["label"])))
-    tried = tried.withColumn("_r", A.option_labels(F.col("_c")["candidate"], "kind", F.col("options")))
     objective, pa, la = A.is_objective("kind"), F.col("pa").isNotNull(), has_text("la")
-    again = F.col("_c")["status"].isin("clean-label", "safe-wrapper-candidate") & F.col("_r")["ok"]
+    # the costly rules run only for the rows that their result decides
+    tried = joined.withColumn("_n", F.when(objective & ~la & pa, A.option_labels("pa", "kind", F.col("options"))))
+    tried = tried.withColumn("_c", F.when(~F.col("_n")["ok"], A.answer_quality("pa", F.transform("options", lambda o: o["label"]))))
+    shown = F.coalesce(F.col("_c")["status"].isin("clean-label", "safe-wrapper-candidate"), F.lit(False))
+    tried = tried.withColumn("_r", F.when(shown, A.option_labels(F.col("_c")["candidate"], "kind", F.col("options"))))
+    again = F.coalesce(F.col("_r")["ok"], F.lit(False))
     out = lambda answer, source, reason, code=None: F.struct(answer.alias("answer"), F.lit(source).alias("source"), reason.alias("reason"), (F.lit(None).cast("string") if code is None else code).alias("code"))
     none = F.lit(None).cast("string")
     reason = F.col("_n")["reason"]
