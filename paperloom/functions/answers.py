@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import SPACE, _col, trimmed
+from paperloom.functions.text import SPACE, _col, once, trimmed
 
 # LaTeX commands, label shapes and shapes of broken answers.
 SAFE_COMMANDS = ["text", "mathrm", "mathbf", "mathit", "mathsf", "texttt", "textrm", "textsf", "textup", "textnormal", "textbf", "textit", "emph"]
@@ -105,12 +105,7 @@ def option_labels(answer: str | Column, kind: str | Column, options: Column) ->
         math_key(answer).alias("key"),
         F.transform(options, lambda o: F.struct(o["label"].alias("label"), math_key(o["text"]).alias("key"))).alias("options"),
     )
-    return _once(first, lambda x: _once(_label_parts(x), lambda p: _option_labels(p, is_multiple(kind))))
-
-
-def _once(value: Column, use) -> Column:
-    """use(value), with value computed once for each row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(first, lambda x: once(_label_parts(x), lambda p: _option_labels(p, is_multiple(kind))))
 
 
 def _label_parts(x: Column) -> Column:

@@ -16,6 +16,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: str | Column) -> Column:
     """Null becomes empty; white space goes at both ends."""
     return F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
