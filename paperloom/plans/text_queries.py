@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import latex as L
 from paperloom.functions import options as O
-from paperloom.plans.bank_queries import table
+from paperloom.operators import support_text as S
+from paperloom.plans.bank_queries import sequence_window, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,3 +126,90 @@ def s26_draft_checks(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(
         F.count_if(O.figure_cue("stem", "options")).alias("cues"), F.count_if(O.fatal_service_error("message")).alias("fatal"), F.count_if(O.needs_option_repair("options", F.lit("page"))).alias("repairs")
     )
+
+
+_L = "WITH l AS (SELECT l_orderkey, l_returnflag, l_linestatus, l_quantity::BIGINT AS qty, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)"
+
+
+def _numbered(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("qty"), F.row_number().over(sequence_window()).alias("n"))
+
+
+@query("SELECT p_partkey, p_name || chr(10) || p_size AS text FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, '[{\"text\": ' || p_size || '}]' FROM part WHERE p_size % 2 != 0")
+def s22_canonical_text(spark, sf_dir):
+    good = F.concat(F.lit('```json\n[{"text": " '), "p_name", F.lit('"}, {"text": "'), "p_size", F.lit('"}]\n```'))
+    text = F.when(F.col("p_size") % 2 == 0, good).otherwise(F.concat(F.lit('[{"text": '), "p_size", F.lit("}]")))
+    return _part(spark, sf_dir, text).select("p_partkey", S.canonical_text("text").alias("text"))
+
+
+@query("SELECT p_partkey, p_name || chr(10) || p_size AS text FROM part")
+def s24_clean_field(spark, sf_dir):
+    text = F.concat(F.lit("\\begin{itemize}\n \\item[1] "), "p_name", F.lit("\n\\item\n\\begin{tikzpicture}x\\end{tikzpicture}"), "p_size", F.lit("\n\\end{itemize}"))
+    return _part(spark, sf_dir, text).select("p_partkey", S.clean_field("text", True).alias("text"))
+
+
+@query(
+    _L
+    + """, g AS (SELECT l_orderkey AS doc_id, list(CASE WHEN l_returnflag = 'A' THEN 'A' ELSE 'B' END ORDER BY n) FILTER (l_returnflag != 'N') AS labels, count(*) FILTER (l_returnflag != 'N') AS found, count(*) FILTER (qty > 20) AS expected FROM l GROUP BY 1)
+SELECT doc_id, coalesce(labels, []) AS labels, found, expected, CASE WHEN found = 0 THEN 'fail-closed' WHEN found >= expected THEN 'full' ELSE 'pass-safe-partial' END AS mode FROM g"""
+)
+def s19_answer_labels(spark, sf_dir):
+    rows = _numbered(spark, sf_dir)
+    line = F.when(F.col("l_returnflag") == "A", "x\n答案：a").when(F.col("l_returnflag") == "R", "答 (B)\r").otherwise("\\frac 答案 C")
+    pages = rows.select(F.col("l_orderkey").alias("doc_id"), F.col("n").alias("ordinal"), line.alias("text"))
+    return S.answer_labels(pages, rows.where("qty > 20").select(F.col("l_orderkey").alias("doc_id"), F.col("n").cast("string").alias("question")))
+
+
+@query(
+    _L
+    + """, s AS (SELECT l_orderkey AS doc_id, CASE l_returnflag WHEN 'A' THEN 'answer' WHEN 'R' THEN 'question' ELSE 'solution' END AS kind, CASE l_returnflag WHEN 'A' THEN 'C：A' WHEN 'R' THEN '#.' || CASE WHEN l_linestatus = 'O' THEN '_C' ELSE '' END ELSE 'C_#' END AS shape FROM l),
+c AS (SELECT doc_id, kind, shape, count(*) AS n FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n DESC, shape) AS rank FROM c) SELECT * FROM r WHERE rank <= 1"""
+)
+def d6_marker_profile(spark, sf_dir):
+    q = F.col("n").cast("string")
+    line = F.when(F.col("l_returnflag") == "A", "答案：AB\nplain").when(F.col("l_returnflag") == "R", F.concat(q, F.lit("."), F.when(F.col("l_linestatus") == "O", " 求").otherwise(""))).otherwise(F.concat(F.lit("解析 "), q))
+    return S.marker_profile(_numbered(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), line.alias("text")), 1)
+
+
+_BLOCKS = (
+    _L
+    + """, b AS (SELECT l_orderkey AS doc_id, (n - 1)::INT AS block, CASE WHEN l_returnflag = 'N' AND n > 1 THEN n - 1 ELSE n END AS q, l_linestatus AS s, qty, n FROM l),
+w AS (SELECT *, q <= (SELECT 5) AS known, q < lag(q, 1, 0) OVER o AS back, row_number() OVER (PARTITION BY doc_id, q ORDER BY n) > 1 AS again FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY n)) """
+)
+
+
+def _support_blocks(spark, sf_dir) -> DataFrame:
+    rows = _numbered(spark, sf_dir)
+    number = F.when((F.col("l_returnflag") == "N") & (F.col("n") > 1), F.col("n") - 1).otherwise(F.col("n"))
+    head = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("第"), number, F.lit("题 body"))).otherwise(F.concat(number, F.lit("、【答案】"), F.col("qty")))
+    pages = rows.select(F.col("l_orderkey").alias("doc_id"), F.col("n").alias("ordinal"), F.concat(head, F.lit("\n more\n解析：why "), F.col("qty")).alias("text"))
+    expected = rows.select(F.col("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("ordinal"))
+    return S.support_blocks(pages, expected.withColumn("question", F.col("ordinal").cast("string")))
+
+
+@query(
+    _BLOCKS
+    + """SELECT doc_id, block, q::VARCHAR AS question, 'question-marker' AS marker, CASE WHEN s = 'O' THEN 'body' || chr(10) || 'more' ELSE '' END AS body, CASE WHEN s = 'O' THEN '' ELSE qty || chr(10) || 'more' END AS answer, 'why ' || qty AS solution,
+  list_concat(CASE WHEN NOT known THEN ['unknown-question-marker'] ELSE [] END, list_concat(CASE WHEN again THEN ['duplicate-question-marker'] ELSE [] END, CASE WHEN back THEN ['jump-back-question-marker'] ELSE [] END)) AS warnings FROM w"""
+)
+def e4_support_blocks(spark, sf_dir):
+    return _support_blocks(spark, sf_dir)
+
+
+@query(_BLOCKS + "SELECT doc_id, block AS ordinal, q::VARCHAR AS question, qty || chr(10) || 'more' AS answer, 'explicit-marker' AS evidence FROM w WHERE known AND NOT back AND NOT again AND s != 'O'")
+def e4_safe_answers(spark, sf_dir):
+    return S.safe_items(_support_blocks(spark, sf_dir), "answer")
+
+
+@query(
+    _L
+    + """, t AS (SELECT l_orderkey, string_agg('[[IMAGE:i' || n || ']]', chr(10) ORDER BY n) AS t FROM l WHERE l_returnflag = 'A' AND qty > 10 GROUP BY 1)
+SELECT o_orderkey::VARCHAR AS id, o_orderpriority || CASE WHEN t IS NULL THEN '' ELSE chr(10) || t END AS stem, CASE WHEN t IS NULL THEN 'none' ELSE 'need_confirm' END AS image_review FROM orders LEFT JOIN t ON l_orderkey = o_orderkey"""
+)
+def c11_attach_figures(spark, sf_dir):
+    drafts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("stem"), F.lit("none").alias("image_review"))
+    images = _numbered(spark, sf_dir).select(
+        F.concat(F.lit("i"), "n").alias("id"), F.col("l_orderkey").cast("string").alias("question_id"), F.col("n").alias("ordinal"), F.lit("u").alias("url"), F.when(F.col("qty") <= 10, "deleted").alias("status"),
+        F.when(F.col("l_returnflag") == "A", "manual-crop").when(F.col("l_returnflag") == "R", "page-source").otherwise("scan").alias("source"), F.lit("").alias("description"),
+    )
+    return S.attach_figures(drafts, images)
