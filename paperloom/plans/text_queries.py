@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import latex as L
 from paperloom.functions import options as O
+from paperloom.operators import refill
 from paperloom.operators import support_text as S
 from paperloom.plans.bank_queries import sequence_window, table
 
@@ -213,3 +214,21 @@ def c11_attach_figures(spark, sf_dir):
         F.when(F.col("l_returnflag") == "A", "manual-crop").when(F.col("l_returnflag") == "R", "page-source").otherwise("scan").alias("source"), F.lit("").alias("description"),
     )
     return S.attach_figures(drafts, images)
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'old' END AS stem, CASE WHEN p_size % 2 = 0 THEN [p_size::VARCHAR, p_type, '', ''] ELSE ['a', 'b', 'c', 'd'] END AS options, p_size % 2 = 0 AS refilled FROM part")
+def c16_refill_options(spark, sf_dir):
+    files = _part(spark, sf_dir, F.concat(F.lit("1. none\n2. "), "p_name", F.lit(" A. "), "p_size", F.lit(" B. "), "p_type", F.lit("\n3. none"))).withColumn("file_id", F.col("p_partkey"))
+    old = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(*map(F.lit, "abcd")))
+    drafts = _part(spark, sf_dir, F.lit("")).select("p_partkey", F.col("p_partkey").alias("file_id"), F.lit("第2题").alias("question"), F.lit("old").alias("stem"), old.alias("options"))
+    return refill.refill_options(drafts, files.select("file_id", "text")).select("p_partkey", "stem", "options", "refilled")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'legacy:unknown' END AS source_id, p_size % 2 = 0 AS source_known, coalesce(CASE WHEN p_size % 3 = 0 THEN 1 END, p_size)::INT AS source_order, p_size::VARCHAR AS question_number, ['legacy-compatibility-manual-review-required'] AS warnings FROM part")
+def b6_adapt_drafts(spark, sf_dir):
+    none, size = F.lit(None).cast("string"), F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(size % 2 == 0, F.col("p_brand")).otherwise("").alias("source_id"), F.when(size % 3 == 0, 1).alias("source_order"), size.cast("int").alias("order"), size.cast("string").alias("question"), none.alias("question_number"),
+        none.alias("type"), F.col("p_name").alias("stem"), none.alias("answer"), none.alias("solution"), F.expr("cast(null as array<string>)").alias("options"), F.expr("cast(null as array<string>)").alias("warnings"),
+    )
+    return refill.adapt_drafts(rows).select("p_partkey", "source_id", "source_known", "source_order", "question_number", "warnings")
