@@ -100,4 +100,4 @@ def op9_decontamination(spark, sf_dir):
 
 @_query
 def op10_line_dedup(spark, sf_dir):
-    return lines.line_report(_table(spark, sf_dir, "documents"))
+    return lines.line_report(_table(spark, sf_dir, "documents"), hashes=lines.character_hashes)

@@ -1,0 +1,48 @@
+"""Lines by their runs of eight characters at every position, as op10_line_dedup takes them."""
+
+import random
+
+import pytest
+
+pytest.importorskip("paperloom.llm")
+import test_lines  # noqa: E402
+
+from paperloom.llm import lines, queries  # noqa: E402
+
+
+def runs(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def sample():
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    urls = ["https://" + "".join(rng.choice(letters) for _ in range(30)) for _ in range(6)]
+    unspaced = ["今日は天気が良い" + "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(40)) for _ in range(4)]
+    unspaced += [unspaced[0][:-1] + "\U0001f600", "\U0001f600" * 9 + unspaced[0], "ab\U0001f600"]
+    rows = [*urls, *unspaced, "Order 1234567890", "Order 1234567899", urls[0] + "x", "a b", "ab", "a b c"]
+    for _ in range(30):
+        base = [rng.choice(letters) for _ in range(rng.randint(30, 160))]
+        rows.append("".join(base))
+        for _ in range(2):
+            base[rng.randrange(len(base))] = rng.choice(letters)
+            rows.append("".join(base))
+    return [(i, "\n".join(rows[i * 3 : i * 3 + 3])) for i in range((len(rows) + 2) // 3)]
+
+
+def test_every_position_against_all_pairs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(test_lines, "shingles", runs)
+    rows = sample()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], p) for r in queries.QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect() for p in r["dropped"]}
+    want = test_lines.slow(rows)
+    assert got <= want and test_lines.recall(got, want) >= 0.95 and len(want) > 20
+
+
+def test_hashes_are_of_every_run(spark):
+    texts = [t for _, text in sample() for t in text.split("\n")]
+    rows = spark.createDataFrame([(t, list(runs(t))) for t in texts], "line string, runs array<string>")
+    from pyspark.sql import functions as F
+
+    want = F.array_sort(F.transform("runs", lambda s: F.xxhash64(F.encode(s, "UTF-32"))))
+    assert rows.where(F.array_sort(F.array_distinct(lines.character_hashes("line"))) != want).count() == 0
