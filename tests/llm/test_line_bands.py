@@ -1,5 +1,7 @@
 """Pairs of similarity 0.8 meet in a band as often as in ten bands of four independent min-hashes (99.5 %)."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,3 +24,20 @@ def test_recall_of_bands(spark, shared, own, other):
     met = bands.groupBy("key", F.floor(F.col("h") / 2).alias("pair")).agg(F.countDistinct("h").alias("n")).where("n = 2")
     assert met.select("pair").distinct().count() >= 0.99 * n
     assert bands.groupBy("h").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_third_turn_leaves_out_no_similar_pair(spark):
+    """One line within the other, its own hashes at any place of the order: also all among the least."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        n = rng.choice([10, 40, 50, 100, 200])
+        own = n // 5
+        u = list(range(n))
+        v = u[own:] if rng.random() < 0.2 else sorted(rng.sample(u, n - own))
+        rows.append((n, len(v), u[: lines.SKETCH], v[: lines.SKETCH]))
+    rows += [(nv, nu, kv, ku) for nu, nv, ku, kv in rows]
+    pairs = spark.createDataFrame(rows, "nu int, nv int, ku array<int>, kv array<int>")
+    assert pairs.where(lines._possible(0.8)).count() == len(rows)
+    apart = spark.createDataFrame([(40, 40, list(range(32)), list(range(50, 82))), (10, 13, list(range(10)), list(range(13)))], pairs.schema)
+    assert apart.where(lines._possible(0.8)).count() == 0
