@@ -14,12 +14,18 @@ PLAIN_WORD = "[^\\x20\\x09-\\x0D]+"
 BUCKET_DIGITS = 3
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse; a temporary one only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            local = spark.sparkContext.master.startswith("local")
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-shared-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared_{app}"
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 

@@ -205,15 +205,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def as_hex(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents, in the same columns, with only the smallest doc_id of each near-duplicate group.
-
-    A row without doc_id can't be named by the groups and stays. Of rows that repeat a doc_id one stays.
-    """
-    found = near_duplicates(docs, width=width)
-    kept = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    stay = docs.where("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.where("_rows > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id IS NULL"))
