@@ -119,6 +119,13 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix as documents in the same columns: a document as often as it is taken, one taken in part counting whole."""
-    mixed = mix(docs.withColumn("_words", word_count(text_col)), "_words", **options).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix as documents in the same columns: a document as often as it is taken, one taken in part counting whole.
+
+    Null and empty texts have no words and are not taken; columns of any name come through as they are; see `mix` for null
+    sources, repeated rows and empty tables.
+    """
+    id_col, source_col = options.pop("id_col", "doc_id"), options.pop("source_col", "source")
+    rows = docs.select(F.struct("*").alias("document"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("words"))
+    mixed = mix(rows, "words", **options).where("copies > 0")
+    copied = mixed.select("document", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return copied.select(*[F.col("document")[c].alias(c) for c in docs.columns])

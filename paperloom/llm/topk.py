@@ -27,11 +27,11 @@ _STEP = 64
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component, as long. Rows without id, null vectors and vectors that hold a
-    null or a non-finite component are left out; of rows that repeat an id the one with the least vector stays."""
+    null or a non-finite component are left out; rows that repeat an id all stay."""
     values = F.transform(vector_col, lambda x: x.cast("double"))
     fit = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("x")).where(fit).select("vec_id", whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("x")).where(fit).select("vec_id", whole.alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -69,7 +69,7 @@ def _table_batches(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, dim: i
     for batch in batches:
         got = pivot_distances(_matrix(batch.column(1), dim), pivots)
         lists = pa.ListArray.from_arrays(np.arange(0, got.size + 1, pivots.shape[0], dtype=np.int32), got.ravel())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["vec_id", "v", "d"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, batch.column(2)], ["vec_id", "v", "d", "row"])
 
 
 class Best:
@@ -87,8 +87,8 @@ class Best:
         self.rows[q] = merged[: self.k]
 
 
-def search(best: Best, query_ids, queries, query_distances, ids, rows, distances) -> int:
-    """Offer to `best` all rows that can be among the k best; returns how many were evaluated."""
+def search(best: Best, query_rows, queries, query_distances, ids, rows, distances, numbers) -> int:
+    """Offer to `best` all rows that can be among the k best; returns how many were evaluated. `numbers` and `query_rows` tell a query's own row."""
     exact = rows.dtype == np.int64 and max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)) <= _SMALL
     kind = np.int64 if exact else object
     square = (rows.astype(np.float64) ** 2).sum(axis=1)
@@ -99,7 +99,7 @@ def search(best: Best, query_ids, queries, query_distances, ids, rows, distances
         least = np.abs(distances - query_distances[q]).max(axis=1, initial=0)
         slack = 1e-7 * (size + square) + 1
         bound = (size + square - least**2) / 2 + slack
-        bound[ids == query_ids[q]] = -np.inf
+        bound[numbers == query_rows[q]] = -np.inf
         worst = best.worst(q)
         able = np.flatnonzero(bound > -np.inf if worst is None else bound >= float(worst))
         order = able[np.argsort(-bound[able], kind="stable")]
@@ -123,52 +123,56 @@ def search(best: Best, query_ids, queries, query_distances, ids, rows, distances
 
 
 def _search_batches(batches: Iterator[pa.RecordBatch], block, k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    query_ids, queries, query_distances = block.value
+    query_rows, queries, query_distances = block.value
     best = Best(len(queries), k)
     for whole in batches:
         for at in range(0, whole.num_rows, 8192):
             batch = whole.slice(at, 8192)
             rows = _matrix(batch.column(1), dim)
             distances = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            search(best, query_ids, queries, query_distances, batch.column(0).to_numpy(), rows, distances)
-    found = [(q, i, s) for q, rows in zip(query_ids.tolist(), best.rows, strict=True) for s, i in rows]
-    yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(3)], ["query_id", "vec_id", "score"])
+            search(best, query_rows, queries, query_distances, batch.column(0).to_numpy(), rows, distances, batch.column(3).to_numpy())
+    found = [(q, i, s) for q, rows in zip(query_rows.tolist(), best.rows, strict=True) for s, i in rows]
+    yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(3)], ["query", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other rows of highest score.
 
-    Ties go to the smaller vec_id. Pivots are chosen farthest-first from SAMPLE vectors in hashed order; they only steer
+    Ties go to the smaller vec_id. Rows that repeat a vec_id are told apart: each is a candidate for the other, and a
+    query of its own. Pivots are chosen farthest-first from SAMPLE vectors in hashed order; they only steer
     the bound, all rows take part. Queries are sent out in blocks of `query_block`, and each block reads the pivot table
     once; a task returns its k best a query. See `quantised` for rows left out; vectors of different lengths are compared
     as if zeros followed the shorter; scores beyond a long are held at its ends; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = materialize(quantised(vectors, id_col, vector_col))
+    # the numbers are fixed by writing them
+    rows = materialize(quantised(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).toArrow().combine_chunks()
     chosen = choose_pivots(_matrix(sample.column("v").combine_chunks(), dim) if len(sample) else np.zeros((0, dim)), pivots)
     table = rows
     if dim and len(chosen):
-        table = materialize(rows.mapInArrow(lambda it: _table_batches(it, chosen, dim), "vec_id long, v array<long>, d array<double>"))
+        table = materialize(rows.mapInArrow(lambda it: _table_batches(it, chosen, dim), "vec_id long, v array<long>, d array<double>, row long"))
     else:
-        table = rows.withColumn("d", F.array(F.lit(0.0)))
+        table = rows.select("vec_id", "v", F.array(F.lit(0.0)).alias("d"), "row")
         chosen = np.zeros((1, dim))
     found = None
-    for ids, block in _query_blocks(rows.where(F.col("vec_id") % every == 0), query_block, dim):
+    asked = rows.where(F.col("vec_id") % every == 0)
+    for ids, block in _query_blocks(asked, query_block, dim):
         held = spark.sparkContext.broadcast((ids, block, pivot_distances(block, chosen)))
-        part = table.mapInArrow(lambda it, held=held: _search_batches(it, held, k, dim), "query_id long, vec_id long, score long")
+        part = table.mapInArrow(lambda it, held=held: _search_batches(it, held, k, dim), "query long, vec_id long, score long")
         found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
+    best = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
 
 def _query_blocks(queries: DataFrame, size: int, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, rows = [], []
     for row in queries.toLocalIterator():
-        ids.append(row["vec_id"])
+        ids.append(row["row"])
         rows.append([*row["v"], *[0] * (dim - len(row["v"]))])
         if len(ids) == size:
             yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64).reshape(len(ids), dim)

@@ -279,11 +279,11 @@ def score_udf(spark, model: ToxicityModel):
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, allowed, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with a column `score`. allowed(doc_id column) tells which labels may be learned from.
+def toxicity(docs: DataFrame, labels: DataFrame, allowed, rows: int = TRAIN_ROWS, score_col: str = "score") -> DataFrame:
+    """docs with a column `score_col` (replaced if there is one). allowed(doc_id column) tells which labels may be learned from.
 
     Null and empty texts are scored like texts without hits; labels of unknown documents are ignored; without a toxic
     training row all scores are 0; repeated rows get equal scores; an empty table gives an empty result.
     """
     model = fit(training_rows(docs, labels, "toxic", allowed, rows))
-    return docs.withColumn("score", score_udf(docs.sparkSession, model)(F.col("text")))
+    return docs.withColumn(score_col, score_udf(docs.sparkSession, model)(F.col("text")))

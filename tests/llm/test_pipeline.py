@@ -8,6 +8,7 @@ import pytest
 pytest.importorskip("paperloom.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from test_decontamination import slow as slow_hits  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from test_simhash import slow_components, slow_fingerprint  # noqa: E402
 
 from paperloom.llm.shared import materialize  # noqa: E402
@@ -70,3 +71,15 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = materialize(stage(spark, empty, d))
     assert empty.count() == 0 and empty.columns[-2:] == ["shard", "slot"]
+
+
+def test_clashing_columns_come_through(spark, tmp_path):
+    d = str(tmp_path)
+    docs, _ = make(d, spark)
+    names = ["score", "target", "source_size", "taken", "copies", "_words", "_copy", "h", "least", "node", "document", "_id", "_h", "_n"]
+    read = spark.read.parquet(f"{d}/documents.parquet").select("*", *[F.col("doc_id").cast("string").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES:
+        read = materialize(stage(spark, read, d))
+        assert set(names) <= set(read.columns)
+    rows = read.collect()
+    assert rows and all(r[n] == str(r["doc_id"]) for r in rows for n in names)
