@@ -165,7 +165,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """The documents without benchmark passages, in the same columns.
 
     mode "document" removes every document with a hit; "span" keeps it without the hit words and the characters
-    between them. The scan happens where the rows are, so nothing is shuffled.
+    between them. The scan happens where the rows are, so nothing is shuffled. Null and empty texts have no hit and stay,
+    repeated rows are judged alike, whole texts of any length are read, and an empty table of documents gives an empty
+    result.
     """
     text_col = names.get("text_col", "text")
     limit = names.pop("broadcast_bytes", BROADCAST_BYTES)

@@ -160,7 +160,7 @@ def score_udf(spark, model: MilModel):
 
 
 def quality(docs: DataFrame, labels: DataFrame, allowed, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with a column `score`. allowed(doc_id column) tells which labels may be learned from.
+    """docs with a column `score` (replaced if there is one). allowed(doc_id column) tells which labels may be learned from.
 
     Null and empty texts are one passage of zeros; with labels of one kind only every score is that label, without any
     label it is 1; repeated rows get equal scores; an empty table gives an empty result.

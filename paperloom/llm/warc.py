@@ -220,7 +220,10 @@ def read_bundles(bundles: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 
 def read_records(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The records named in wanted (record_id long): only the frames that hold them are decompressed."""
+    """The records named in wanted (record_id long): only the frames that hold them are decompressed.
+
+    Unknown, null and repeated ids add nothing; no bundles give no records.
+    """
     places = record_index(bundles).join(wanted.select("record_id").distinct(), "record_id", "left_semi")
     chosen = places.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "length"))).alias("entries"))
     return bundles.select("bundle_id", "archive").join(chosen, "bundle_id").select("archive", "entries").mapInArrow(_seek_batches, _RECORD)
