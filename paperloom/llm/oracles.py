@@ -83,3 +83,20 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first < page_
        CASE WHEN first < page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
+
+ORACLE_SQL["op2_sharding"] = f"""
+WITH bits AS (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS s(k)),
+crc AS (SELECT list(c ORDER BY k) AS t FROM bits),
+keyed AS (
+  SELECT doc_id, coalesce(text, '') AS text, {_SOURCE_KEY} AS g, md5('shard-1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY h, doc_id NULLS FIRST) - 1 AS rank, count(*) OVER (PARTITION BY g) AS n,
+         ('0x' || substr(md5('shard-1:' || g), 1, 8))::BIGINT / 4294967296::DOUBLE AS start
+  FROM keyed),
+placed AS (SELECT *, row_number() OVER (ORDER BY (rank + start) / n, g, h, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, (strlen(text) + 1)::BIGINT AS size,
+       xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+       'rows' AS law, (place * 16 // total)::INT AS shard, (place - ((place * 16 // total) * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed, crc
+"""
