@@ -80,7 +80,10 @@ def shard_quotas(targets: DataFrame, block_words: int, shards: int) -> DataFrame
 
 
 def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", block_words: int = 16, shards: int = 16, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Every row of docs with source_size, target, taken (words the mix takes of it) and copies (times it is emitted whole).
+    """Every row of docs with source_size, target, taken (words the mix takes of it), copies (times it is emitted whole) and shard.
+
+    The shard is the one whose quota holds the block with the row's first word: a source's blocks go to the shards in turn,
+    to each as many as its quota; a row of which nothing is taken has none.
 
     Only (source, bucket) sums are gathered; a source with a third of all rows is ordered in 4096 buckets. Null sources
     are a source of their own, a column of docs that has the name of a new one is replaced, null or empty texts have size 0 and nothing is taken of them, repeated rows are taken one
@@ -97,9 +100,9 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
     ).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
     sizes = keyed.groupBy("g").agg(F.first("_source").alias("source"), F.sum("_size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, most))
-    given = shard_quotas(targets, block_words, shards).groupBy("g").agg(F.max("upto").alias("_blocks"))
+    given = shard_quotas(targets, block_words, shards).groupBy("g").agg(F.max("upto").alias("_blocks"), F.array_sort(F.collect_list("upto")).alias("_upto"))
     plan = materialize(
-        targets.join(given, "g").select("g", "target", F.least(F.col("_blocks") * block_words, F.col("source_size") * most).alias("_words"))
+        targets.join(given, "g").select("g", "target", "_upto", F.least(F.col("_blocks") * block_words, F.col("source_size") * most).alias("_words"))
     )
     placed = with_running_total(keyed, "g", "_bucket", "_size", ["_h", "_id", "_size"], "_before", "source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("_words") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -107,11 +110,15 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
     part = F.least(F.greatest(rest - F.col("_before"), F.lit(0)), F.col("_size"))
     taken = whole * F.col("_size") + part
     copies = whole + F.when(part > 0, 1).otherwise(0)
+    # quotas never fall from shard to shard, so the shards before a block's own are those that end at it or earlier
+    block = F.floor(F.col("_before") / block_words)
+    shard = F.size(F.filter("_upto", lambda u: u <= block))
     added = {
         "source_size": F.col("source_size"),
         "target": F.col("target"),
         "taken": taken.cast("long"),
         "copies": F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("int"),
+        "shard": F.when(taken > 0, shard),
     }
     return placed.join(plan, "g").select(
         *[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()]

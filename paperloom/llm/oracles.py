@@ -22,15 +22,20 @@ targets AS (
 house AS (SELECT *, sum(target) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM targets),
 quotients AS (SELECT g, target / (2 * k + 1) AS quotient, k FROM house, unnest(generate_series(0, (target / 16)::BIGINT + 2)) AS s(k) WHERE target > 0),
 seats AS (SELECT g, row_number() OVER (ORDER BY quotient DESC, g, k) AS place FROM quotients),
-quotas AS (SELECT g, count(*) AS q FROM seats WHERE place <= (SELECT floor(any_value(t) / 16 + 0.5) FROM house) GROUP BY g),
+blocks AS (
+  SELECT g, row_number() OVER (PARTITION BY g ORDER BY place) - 1 AS block, ((place * 16 + b - 1) // b - 1)::INT AS shard
+  FROM seats, (SELECT floor(any_value(t) / 16 + 0.5)::BIGINT AS b FROM house) WHERE place <= b),
+quotas AS (SELECT g, count(*) AS q FROM blocks GROUP BY g),
 plan AS (SELECT t.g, t.n, t.target, least(coalesce(q, 0) * 16, 2 * t.n) AS words FROM targets t LEFT JOIN quotas USING (g)),
 placed AS (
   SELECT s.*, p.n, p.target, p.words,
          coalesce(sum(s.size) OVER (PARTITION BY s.g ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sized s JOIN plan p USING (g))
-SELECT doc_id, size, n AS source_size, target,
-       (CASE WHEN n > 0 THEN (words // n) * size + least(greatest(words - (words // n) * n - before, 0), size) ELSE 0 END)::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN plan p USING (g)),
+mixed AS (
+  SELECT *, (CASE WHEN n > 0 THEN (words // n) * size + least(greatest(words - (words // n) * n - before, 0), size) ELSE 0 END)::BIGINT AS taken
+  FROM placed)
+SELECT doc_id, size, n AS source_size, target, taken, CASE WHEN taken > 0 THEN shard END AS shard
+FROM mixed LEFT JOIN blocks ON mixed.g = blocks.g AND mixed.before // 16 = blocks.block
 """
 
 ORACLE_SQL["op9_decontamination"] = """

@@ -76,7 +76,7 @@ def op6_chat(spark, sf_dir):
 @_query
 def op7_mixing(spark, sf_dir):
     sized = materialize(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
-    return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 @_query

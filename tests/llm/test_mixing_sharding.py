@@ -1,3 +1,4 @@
+import hashlib
 import heapq
 from collections import Counter, defaultdict
 
@@ -60,6 +61,21 @@ def test_quotas_are_sainte_lague_for_each_shard(spark):
         assert {k: got[k, shard] for k in targets} == {k: seats[k] for k in targets}
 
 
+def test_rows_go_to_the_shard_of_their_first_block(spark):
+    rows = [(i, f"s{i % 5}", (i * 37) % 90) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(df, "size", block_words=4, shards=6).collect()
+    assert all((r["shard"] is None) == (r["taken"] == 0) and (r["shard"] is None or 0 <= r["shard"] < 6) for r in got)
+    sizes = df.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("g", F.concat(F.lit("s"), "source"))
+    quotas = {(r["g"], r["shard"]): r["upto"] for r in mixing.shard_quotas(mixing.source_targets(sizes), 4, 6).collect()}
+    for source in {r["source"] for r in got}:
+        before = 0
+        for r in sorted((r for r in got if r["source"] == source), key=lambda r: hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()):
+            if r["taken"]:
+                assert r["shard"] == next(j for j in range(6) if before // 4 < quotas["s" + source, j])
+            before += r["size"]
+
+
 def test_empty_and_all_null(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long"), "size").count() == 0
     rows = mixing.mix(spark.createDataFrame([(1, None, 0), (None, None, 0)], "doc_id long, source string, size long"), "size").collect()
