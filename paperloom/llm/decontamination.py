@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -132,13 +133,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_co
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
-    blocks = list(_blocks(benchmark, item_col, bench_text_col, broadcast_bytes))
-    if len(blocks) == 1:
-        return _scan(docs, blocks[0], n, id_col, text_col, id_type)
+    blocks = _blocks(benchmark, item_col, bench_text_col, broadcast_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _scan(docs, block, n, id_col, text_col, id_type)
     numbered = materialize(docs.select(id_col, F.col(text_col)).withColumn("_row", F.monotonically_increasing_id()))
     parts = None
-    for block in blocks:
-        part = _scan(numbered, block, n, "_row", text_col, numbered.schema["_row"].dataType).withColumnRenamed("doc_id", "_row")
+    for block in chain((block, following), blocks):
+        # written at once, so that the driver holds few blocks at a time
+        part = materialize(_scan(numbered, block, n, "_row", text_col, numbered.schema["_row"].dataType).withColumnRenamed("doc_id", "_row"))
         parts = part if parts is None else parts.unionAll(part)
     merged = parts.groupBy("_row").agg(
         F.max("n_words").alias("n_words"),
@@ -165,20 +168,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """The documents without benchmark passages, in the same columns.
 
     mode "document" removes every document with a hit; "span" keeps it without the hit words and the characters
-    between them. The scan happens where the rows are, so nothing is shuffled. Null and empty texts have no hit and stay,
+    between them. The scan happens where the rows are, so nothing is shuffled; a benchmark of several blocks takes a pass
+    and a written table for each. Null and empty texts have no hit and stay,
     repeated rows are judged alike, whole texts of any length are read, and an empty table of documents gives an empty
     result.
     """
     text_col = names.get("text_col", "text")
     limit = names.pop("broadcast_bytes", BROADCAST_BYTES)
-    blocks = list(_blocks(benchmark, names.get("item_col", "item_id"), names.get("bench_text_col", "text"), limit))
-    for block in blocks:
+    blocks = _blocks(benchmark, names.get("item_col", "item_id"), names.get("bench_text_col", "text"), limit)
+    block = next(blocks)
+    while block is not None:
         held = docs.sparkSession.sparkContext.broadcast(GramSet(block, n))
         if mode == "span":
             docs = docs.withColumn(text_col, _cut_udf(held)(F.col(text_col)))
         else:
             hit = _hit_udf(held)
             docs = docs.where(~hit(F.col(text_col).cast("binary")))
+        block = next(blocks, None)
+        if block is not None:
+            docs = materialize(docs)
     return docs
 
 
