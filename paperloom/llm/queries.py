@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontamination, lines, mixing, quality, sharding, simhash, topk, toxicity, warc
+from paperloom.llm import chat, decontamination, imatch, lines, mixing, periodic, quality, sharding, simhash, spelling, topk, toxicity, warc
 from paperloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from paperloom.llm.shared import materialize
 
@@ -101,3 +101,32 @@ def op9_decontamination(spark, sf_dir):
 @_query
 def op10_line_dedup(spark, sf_dir):
     return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_imatch(spark, sf_dir):
+    found = imatch.edit_report(_table(spark, sf_dir, "documents"))
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@_query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic.with_runs(periodic.with_planted_repeats(_table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = found.select("doc_id", "collapsed", "runs", F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), "").alias("list"), periodic.strongest("runs").alias("best"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.col("list").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
