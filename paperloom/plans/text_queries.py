@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import latex as L
 from paperloom.functions import options as O
 from paperloom.operators import refill
+from paperloom.operators import support_documents as E
 from paperloom.operators import support_text as S
 from paperloom.plans.bank_queries import sequence_window, table
 
@@ -191,6 +192,7 @@ def _support_blocks(spark, sf_dir) -> DataFrame:
 @query(
     _BLOCKS
     + """SELECT doc_id, block, q::VARCHAR AS question, 'question-marker' AS marker, CASE WHEN s = 'O' THEN 'body' || chr(10) || 'more' ELSE '' END AS body, CASE WHEN s = 'O' THEN '' ELSE qty || chr(10) || 'more' END AS answer, 'why ' || qty AS solution,
+  {'ordinal': n::INT, 'at': 0} AS "start", {'ordinal': n::INT, 'at': 2} AS "end",
   list_concat(CASE WHEN NOT known THEN ['unknown-question-marker'] ELSE [] END, list_concat(CASE WHEN again THEN ['duplicate-question-marker'] ELSE [] END, CASE WHEN back THEN ['jump-back-question-marker'] ELSE [] END)) AS warnings FROM w"""
 )
 def e4_support_blocks(spark, sf_dir):
@@ -202,6 +204,64 @@ def e4_safe_answers(spark, sf_dir):
     return S.safe_items(_support_blocks(spark, sf_dir), "answer")
 
 
+# A page a row of lineitem: three kinds of markers, among them one that takes the number that is due; a third of them lack the answer label.
+_DOCUMENTS = (
+    _L
+    + """, d AS (SELECT l_orderkey AS doc_id, n, qty, CASE WHEN l_returnflag = 'A' THEN n ELSE n + 20 END AS q, CASE WHEN qty % 3 = 0 THEN 'x' WHEN l_returnflag = 'N' THEN 'i' ELSE l_returnflag END AS k, l_linestatus = 'O' AS late FROM l),
+t AS (SELECT *, CASE k WHEN 'A' THEN '\\textbf{' || q || '.} 答案：' WHEN 'R' THEN '**' || q || '**' || chr(10) || chr(10) || '【答案】' WHEN 'i' THEN '\\item 参考答案:' ELSE '第' || q || '题' || chr(10) || 'text ' END || qty
+   || chr(10) || CASE WHEN late THEN '解 析：late ' ELSE 'more ' END || n AS text FROM d),
+p AS (SELECT *, coalesce(sum(length(text) + 2) OVER w, 0)::BIGINT AS start, coalesce(sum(len(string_split(text, chr(10))) + 1) OVER w, 0)::BIGINT + 1 AS line, sum(CASE WHEN k != 'x' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS o, sum((k = 'i')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS i FROM p WHERE k != 'x'),
+c AS (SELECT *, least(3, i + greatest(0, coalesce(max(CASE WHEN k = 'A' AND q <= 3 THEN q - i END) OVER (PARTITION BY doc_id ORDER BY n), 0))) AS c FROM m),
+s AS (SELECT *, lag(c, 1, 0) OVER (PARTITION BY doc_id ORDER BY n) AS come FROM c),
+z AS (SELECT *, CASE WHEN k != 'i' THEN q WHEN come < 3 THEN come + 1 END AS question FROM s) """
+)
+
+
+def _support_documents(spark, sf_dir):
+    rows = _numbered(spark, sf_dir).withColumn("q", F.when(F.col("l_returnflag") == "A", F.col("n")).otherwise(F.col("n") + 20).cast("string"))
+    marker = (
+        F.when(F.col("qty") % 3 == 0, F.concat(F.lit("第"), "q", F.lit("题\ntext ")))
+        .when(F.col("l_returnflag") == "A", F.concat(F.lit("\\textbf{"), "q", F.lit(".} 答案：")))
+        .when(F.col("l_returnflag") == "R", F.concat(F.lit("**"), "q", F.lit("**\n\n【答案】")))
+        .otherwise(F.lit("\\item 参考答案:"))
+    )
+    text = F.concat(marker, "qty", F.when(F.col("l_linestatus") == "O", "\n解 析：late ").otherwise("\nmore "), "n")
+    pages = rows.select(F.col("l_orderkey").alias("doc_id"), F.col("n").alias("page_no"), text.alias("text"), F.lit(None).cast("string").alias("image_url"))
+    wanted = rows.select(F.col("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("ordinal"))
+    return E.support_documents(pages, wanted.withColumn("question", F.col("ordinal").cast("string")))
+
+
+@query(
+    _DOCUMENTS
+    + """, lost AS (SELECT z.doc_id, z.n, string_agg(CASE WHEN x.k = 'x' THEN chr(10) || chr(10) || x.text END, '' ORDER BY x.n) AS t, count(*) FILTER (x.late) AS lates FROM z JOIN p x ON x.doc_id = z.doc_id AND x.b = z.b GROUP BY ALL),
+r AS (SELECT z.*, qty || chr(10) || CASE WHEN late THEN '' ELSE 'more ' || z.n END AS said, coalesce(t, '') AS t, (SELECT min(x.n) FROM p x WHERE x.doc_id = z.doc_id AND x.b = z.b AND x.late) AS cut FROM z JOIN lost USING (doc_id, n) WHERE question IS NOT NULL),
+body AS (SELECT r.*, CASE k WHEN 'A' THEN '答案：' WHEN 'R' THEN '【答案】' ELSE '参考答案:' END AS label, qty || chr(10) || CASE WHEN late THEN '解 析：late ' ELSE 'more ' END || r.n || t AS rest FROM r)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS block, question::VARCHAR AS question, CASE k WHEN 'A' THEN 'explicit-latex-bold' WHEN 'R' THEN 'explicit-markdown-bold' ELSE 'implicit-enumerate-item' END AS kind, line, label || rest AS raw,
+  CASE WHEN cut IS NULL THEN rest ELSE rtrim(split_part(rest, '解 析：', 1), chr(10)) END AS answer, CASE WHEN cut IS NULL THEN '' ELSE substr(rest, strpos(rest, '解 析：') + 4) END AS solution,
+  cut IS NOT NULL AS labelled, cut IS NOT NULL AS late, n AS page_no, '' AS image_url FROM body"""
+)
+def e6_support_documents(spark, sf_dir):
+    return _support_documents(spark, sf_dir)[0]
+
+
+@query(_DOCUMENTS + """SELECT doc_id, n AS page_no, start, (start + length(text))::BIGINT AS "end", '' AS image_url FROM p""")
+def e6_page_ranges(spark, sf_dir):
+    return _support_documents(spark, sf_dir)[1]
+
+
+@query(
+    _DOCUMENTS
+    + """, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, question ORDER BY n) > 1 AS again, split_part(text, chr(10), 1) AS first FROM z)
+SELECT doc_id, 'answer-label-not-found-after-marker' AS reason, line, NULL AS question, split_part(text, chr(10), 1) AS text, split_part(text, chr(10), 2) AS following FROM p WHERE k = 'x'
+UNION ALL SELECT doc_id, 'marker-without-question-number', line, NULL, first, NULL FROM f WHERE question IS NULL
+UNION ALL SELECT doc_id, 'unknown-question-number', line, question::VARCHAR, first, NULL FROM f WHERE question > 3
+UNION ALL SELECT doc_id, 'duplicate-question-number', line, question::VARCHAR, first, NULL FROM f WHERE again AND question IS NOT NULL"""
+)
+def e6_diagnostics(spark, sf_dir):
+    return _support_documents(spark, sf_dir)[2].where("reason != 'solution-label-in-answer'")
+
+
 @query(
     _L
     + """, t AS (SELECT l_orderkey, string_agg('[[IMAGE:i' || n || ']]', chr(10) ORDER BY n) AS t FROM l WHERE l_returnflag = 'A' AND qty > 10 GROUP BY 1)
