@@ -192,11 +192,12 @@ def _support_blocks(spark, sf_dir) -> DataFrame:
 @query(
     _BLOCKS
     + """SELECT doc_id, block, q::VARCHAR AS question, 'question-marker' AS marker, CASE WHEN s = 'O' THEN 'body' || chr(10) || 'more' ELSE '' END AS body, CASE WHEN s = 'O' THEN '' ELSE qty || chr(10) || 'more' END AS answer, 'why ' || qty AS solution,
-  {'ordinal': n::INT, 'at': 0} AS "start", {'ordinal': n::INT, 'at': 2} AS "end",
+  n::INT AS first_page, 0 AS first_line, n::INT AS last_page, 2 AS last_line,
   list_concat(CASE WHEN NOT known THEN ['unknown-question-marker'] ELSE [] END, list_concat(CASE WHEN again THEN ['duplicate-question-marker'] ELSE [] END, CASE WHEN back THEN ['jump-back-question-marker'] ELSE [] END)) AS warnings FROM w"""
 )
 def e4_support_blocks(spark, sf_dir):
-    return _support_blocks(spark, sf_dir)
+    places = [F.col(f"{end}.{c}").alias(f"{name}_{what}") for end, name in (("start", "first"), ("end", "last")) for c, what in (("ordinal", "page"), ("at", "line"))]
+    return _support_blocks(spark, sf_dir).select("*", *places).drop("start", "end")
 
 
 @query(_BLOCKS + "SELECT doc_id, block AS ordinal, q::VARCHAR AS question, qty || chr(10) || 'more' AS answer, 'explicit-marker' AS evidence FROM w WHERE known AND NOT back AND NOT again AND s != 'O'")
