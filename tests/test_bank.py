@@ -124,9 +124,6 @@ def test_scores(spark):
     got = {r["document_id"]: r for r in scoring.document_scores(scoring.match_rows(truth, result)).collect()}
     assert (got["d"]["n_truth"], got["d"]["n_result"], got["d"]["n_matched"], got["d"]["precision"]) == (2, 2, 1, 0.5)
     assert got["d"]["cer"] == pytest.approx(3 / 6) and got["e"]["cer"] == 1.0
-    values = spark.createDataFrame([(str(i), "t", float(i)) for i in range(30)], "document_id string, tag string, m double")
-    a, b = (scoring.bootstrap_interval(values, "tag", "m", 100).first() for _ in range(2))
-    assert a == b and a["low"] < 14.5 < a["high"]
     agg = scoring.corpus_aggregate(spark.createDataFrame([(1.0,), (2.0,), (10.0,), (None,)], "m double"), ["m"]).first()
     assert (agg["n"], agg["median"], agg["p95"]) == (3, 2.0, pytest.approx(9.2))
 
