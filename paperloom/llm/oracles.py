@@ -168,10 +168,10 @@ ordered AS (
   FROM texts WINDOW w AS (ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 edits AS (SELECT *, text[:length(text) - length(text) // 2] || substring(following, 1, length(text) // 2) AS edited FROM ordered),
 versions AS (SELECT r, 0 AS v, text FROM edits UNION ALL SELECT r, 1, edited FROM edits),
-terms AS (SELECT r, v, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'))) AS term FROM versions),
+terms AS (SELECT r, v, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))) AS term FROM versions),
 lexicon AS (SELECT term FROM terms WHERE v = 0 GROUP BY term HAVING count(*) BETWEEN pow((SELECT count(*) FROM texts), 0.3) AND pow((SELECT count(*) FROM texts), 0.8)),
 digests AS (SELECT term, array_to_string(list_transform(range(8), lambda i: md5(i || ':' || term)), '') AS d FROM lexicon),
-members AS (SELECT term, j FROM digests, unnest(range(64)) AS s(j) WHERE ('0x' || substr(d, 4 * j::INT + 1, 4))::BIGINT < round(65536 * pow(2, -13 * j / 63))),
+members AS (SELECT term, j FROM digests, unnest(range(64)) AS s(j) WHERE ('0x' || substr(d, 4 * j::INT + 1, 4))::BIGINT < CASE WHEN j = 0 THEN 65536 ELSE round(65536 * pow(2, -2 - 11 * (j - 1) / 62)) END),
 hashes AS (SELECT r, v, j, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h FROM terms JOIN members USING (term) GROUP BY r, v, j),
 maps AS (SELECT r, v, map(list(j), list(h)) AS m FROM hashes GROUP BY r, v),
 held AS (SELECT r, v, array_to_string(list_transform(range(64), lambda j: coalesce(m[j], '00000000')), '') AS f FROM maps),

@@ -110,7 +110,7 @@ def with_runs(docs: DataFrame, text_col: str = "text", least: int = LEAST) -> Da
     )
 
 
-def strongest(runs: str) -> Column:
+def strongest(runs: str | Column) -> Column:
     """The run of greatest length over period; of several the one that starts first, then the one of smaller period."""
 
     def order(a: Column, b: Column) -> Column:
