@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import BUCKET_DIGITS, PLAIN_WORD, group_key, materialize, shuffle_key, with_running_total
+from paperloom.llm.shared import BUCKET_DIGITS, PLAIN_WORD, group_key, materialize, row_hash, row_key, with_running_total
 
 #: Fixed by the contract: weights in the order of the sources, the mix's size and the most a source is repeated.
 WEIGHTS = (3, 1, 2)
@@ -80,20 +80,22 @@ def shard_quotas(targets: DataFrame, block_words: int, shards: int) -> DataFrame
 
 
 def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", block_words: int = 16, shards: int = 16, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Every row of docs with source_size, target, taken (words the mix takes of it), copies (times it is emitted whole) and shard.
+    """Every row of docs with source_size, target, taken (words the mix takes of it), copies (times it is emitted whole) and shard_words.
 
-    The shard is the one whose quota holds the block with the row's first word: a source's blocks go to the shards in turn,
-    to each as many as its quota; a row of which nothing is taken has none.
+    shard_words has a (shard, words) for each shard that gets words of the row; they add up to taken. A source's stream, its rows
+    in seeded order and then once more, goes to the shards in turn, to each as many blocks as its quota, so a row
+    that lies across two shards' blocks is split, and one that is taken twice is dealt twice.
 
     Only (source, bucket) sums are gathered; a source with a third of all rows is ordered in 4096 buckets. Null sources
-    are a source of their own, a column of docs that has the name of a new one is replaced, null or empty texts have size 0 and nothing is taken of them, repeated rows are taken one
-    by one, and an empty table gives an empty result. The same seed gives the same mix. `docs` should be cheap to read
+    are a source of their own, a column of docs that has the name of a new one is replaced, null or empty texts have size 0 and nothing is taken of them, rows that repeat an id are taken one
+    by one in the order of a hash of their columns, by which rows without id are spread, and an empty table gives an empty result. The same seed gives the same mix. `docs` should be cheap to read
     twice (a table, not a long plan).
     """
     keyed = docs.select(
         F.struct("*").alias("_row"),
         group_key(source_col).alias("g"),
-        shuffle_key(seed, id_col).alias("_h"),
+        row_key(seed, id_col, row_hash(docs)).alias("_h"),
+        row_hash(docs).alias("_t"),
         F.col(id_col).alias("_id"),
         F.col(source_col).cast("string").alias("_source"),
         F.col(size_col).cast("long").alias("_size"),
@@ -104,21 +106,23 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
     plan = materialize(
         targets.join(given, "g").select("g", "target", "_upto", F.least(F.col("_blocks") * block_words, F.col("source_size") * most).alias("_words"))
     )
-    placed = with_running_total(keyed, "g", "_bucket", "_size", ["_h", "_id", "_size"], "_before", "source_size")
+    placed = with_running_total(keyed, "g", "_bucket", "_size", ["_h", "_id", "_size", "_t"], "_before", "source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("_words") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("_words") - whole * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("_before"), F.lit(0)), F.col("_size"))
     taken = whole * F.col("_size") + part
     copies = whole + F.when(part > 0, 1).otherwise(0)
-    # quotas never fall from shard to shard, so the shards before a block's own are those that end at it or earlier
-    block = F.floor(F.col("_before") / block_words)
-    shard = F.size(F.filter("_upto", lambda u: u <= block))
+    size = F.col("source_size")
+    end = lambda j: F.get("_upto", j) * block_words
+    start = lambda j: F.when(j > 0, end(j - 1)).otherwise(F.lit(0))
+    within = lambda j, k: F.greatest(F.least(end(j), size * k + F.col("_before") + F.col("_size"), F.col("_words")) - F.greatest(start(j), size * k + F.col("_before")), F.lit(0))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.struct(j.alias("shard"), sum((within(j, k) for k in range(most)), F.lit(0)).cast("long").alias("words")))
     added = {
         "source_size": F.col("source_size"),
         "target": F.col("target"),
         "taken": taken.cast("long"),
         "copies": F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("int"),
-        "shard": F.when(taken > 0, shard),
+        "shard_words": F.filter(dealt, lambda d: d["words"] > 0),
     }
     return placed.join(plan, "g").select(
         *[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()]

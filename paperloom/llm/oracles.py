@@ -33,9 +33,13 @@ placed AS (
   FROM sized s JOIN plan p USING (g)),
 mixed AS (
   SELECT *, (CASE WHEN n > 0 THEN (words // n) * size + least(greatest(words - (words // n) * n - before, 0), size) ELSE 0 END)::BIGINT AS taken
-  FROM placed)
-SELECT doc_id, size, n AS source_size, target, taken, CASE WHEN taken > 0 THEN shard END AS shard
-FROM mixed LEFT JOIN blocks ON mixed.g = blocks.g AND mixed.before // 16 = blocks.block
+  FROM placed),
+quota AS (SELECT g, shard, 16 * min(block) AS a, 16 * (max(block) + 1) AS b FROM blocks GROUP BY g, shard),
+rows AS (SELECT row_number() OVER () AS r, * FROM mixed),
+passes AS (SELECT r, g, words, k * n + before AS a, k * n + before + size AS b FROM rows, (SELECT unnest([0, 1]) AS k)),
+dealt AS (SELECT r, shard, sum(least(p.b, q.b, words) - greatest(p.a, q.a))::BIGINT AS w FROM passes p JOIN quota q ON p.g = q.g AND least(p.b, q.b, words) > greatest(p.a, q.a) GROUP BY r, shard),
+lists AS (SELECT r, list(shard ORDER BY shard) AS shards, list(w ORDER BY shard) AS ws FROM dealt GROUP BY r)
+SELECT doc_id, size, n AS source_size, target, taken, coalesce(shards, []) AS shards, coalesce(ws, []) AS shard_words FROM rows LEFT JOIN lists USING (r)
 """
 
 ORACLE_SQL["op9_decontamination"] = """

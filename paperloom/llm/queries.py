@@ -76,7 +76,8 @@ def op6_chat(spark, sf_dir):
 @_query
 def op7_mixing(spark, sf_dir):
     sized = materialize(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
-    return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken", "shard")
+    dealt = [F.transform("shard_words", lambda d: d["shard"]).alias("shards"), F.transform("shard_words", lambda d: d["words"]).alias("shard_words")]
+    return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken", *dealt)
 
 
 @_query

@@ -46,9 +46,15 @@ def group_key(column: str) -> Column:
     return F.when(F.col(column).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(column).cast("string")))
 
 
-def shuffle_key(seed: str, column: str) -> Column:
-    """Seeded hexadecimal order of rows by an id; null ids come together."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("null"))).cast("binary"))
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: orders rows that repeat an id, so that only equal rows are interchangeable."""
+    held = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in held])
+
+
+def row_key(seed: str, column: str, tie: Column) -> Column:
+    """Seeded hexadecimal order of rows by an id; rows without id are spread by `tie`."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.concat(F.lit("null:"), tie.cast("string")))).cast("binary"))
 
 
 def with_running_total(df: DataFrame, group: str, bucket: str, value: str, order: list[str], before: str, total: str) -> DataFrame:
