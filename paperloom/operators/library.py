@@ -20,15 +20,26 @@ def keyed_lookup(rows: DataFrame, column: str, keys: DataFrame, key: str) -> Dat
     return rows.join(keys.where(has_text(key)).select(F.col(key).alias(column)).distinct(), column, "left_semi")
 
 
+def _with_meta(questions: DataFrame, name: str) -> Column:
+    """A label as text: the column, or the field of `meta` (a struct) where the column is empty or missing; else empty."""
+    parts = [F.nullif(F.col(name).cast("string"), F.lit(""))] if name in questions.columns else []
+    if "meta" in questions.columns and name in questions.schema["meta"].dataType.fieldNames():
+        parts.append(F.col("meta")[name].cast("string"))
+    return F.coalesce(*parts, F.lit(""))
+
+
 def library_filter(questions: DataFrame, keyword: str = "", type: str = "", diff: str = "", grade: str = "", answer_state: str = "", image_state: str = "", has: Callable[[Column], Column] = has_text) -> DataFrame:
-    """Keyword in stem, answer or solution, exact type, difficulty and grade. The answer state looks at the solution."""
+    """Keyword in stem, answer or solution, exact type, difficulty and grade, the last two from `meta` where they are empty.
+
+    The answer state looks at the solution.
+    """
     keep = F.lit(True)
     word = keyword.strip().lower()
     if word:
         keep &= F.lower(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in ("stem", "answer", "solution")])).contains(word)
     for name, wanted in (("type", type), ("diff", diff), ("grade", grade)):
         if wanted:
-            keep &= F.coalesce(F.col(name).cast("string"), F.lit("")) == wanted
+            keep &= (F.coalesce(F.col(name).cast("string"), F.lit("")) if name == "type" else _with_meta(questions, name)) == wanted
     if answer_state in ("hasAnswer", "noAnswer"):
         found = has(F.col("solution"))
         keep &= found if answer_state == "hasAnswer" else ~found
@@ -39,9 +50,9 @@ def library_filter(questions: DataFrame, keyword: str = "", type: str = "", diff
 
 
 def facets(questions: DataFrame) -> DataFrame:
-    """(facet, value, n): total, counts by type, grade and diff without empty keys, withAnswer, withImages; one pass."""
+    """(facet, value, n): total, counts by type, grade and diff (from `meta` where empty) without empty keys, withAnswer, withImages; one pass."""
     flat = questions.select(
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("type", "grade", "diff")],
+        *[_with_meta(questions, c).alias(c) for c in ("type", "grade", "diff")],
         has_text("answer").alias("a"),
         (F.coalesce(F.size("images"), F.lit(0)) > 0).alias("i"),
     )
