@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import has_text
+from paperloom.functions.text import has_text, question_number
+from paperloom.tables import written
 
 
 def skeleton_authority(lists: DataFrame, numbers: str = "a") -> DataFrame:
@@ -32,6 +33,35 @@ def candidate_intake(candidates: DataFrame, expected: DataFrame, doc: str = "doc
     return cut.where("_gap = 0").select(doc, "number", "id", "prefix_truncated")
 
 
+def candidate_package(candidates: DataFrame, expected: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(drafts, batches) of candidate packages: each document's candidates become drafts together, or none of them does.
+
+    candidates has (doc, ordinal, number, id, raw_json, source_mode, source_id, provenance, version), expected (doc, ordinal,
+    number). With expected numbers the longest prefix of them that candidates have is taken, of a repeated number the last
+    candidate; without, all candidates in order. batches has (doc, outcome, total, prefix_truncated); outcome is the
+    first of raw-json-candidate-rejected (any candidate), candidate-prefix-empty, candidate-provenance-missing (a taken one
+    lacks its source or provenance), else accepted. drafts has (doc, order, id, number, version) of accepted documents.
+    """
+    fields = F.struct("id", F.coalesce("number", F.lit("")).alias("number"), F.coalesce("version", F.lit(1)).alias("version"), (~has_text("source_mode") | ~has_text("source_id") | F.col("provenance").isNull()).alias("_lacks"))
+    numbered = candidates.select(doc, "ordinal", question_number("number").alias("_q"), fields.alias("_c"), F.coalesce("raw_json", F.lit(False)).alias("_raw"))
+    wanted = expected.select(doc, "ordinal", question_number("number").alias("_q")).where("_q != ''")
+    last = numbered.groupBy(doc, "_q").agg(F.max_by("_c", "ordinal").alias("_c"))
+    upto = Window.partitionBy(doc).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = wanted.join(last, [doc, "_q"], "left").withColumn("_gap", F.max(F.col("_c").isNull()).over(upto)).where("NOT _gap").select(doc, "ordinal", "_c")
+    whole = numbered.join(wanted.select(doc).distinct(), doc, "left_anti").select(doc, "ordinal", "_c")
+    taken = written(prefix.unionByName(whole).withColumn("order", F.row_number().over(Window.partitionBy(doc).orderBy("ordinal"))))
+    counts = taken.groupBy(doc).agg(F.count("*").alias("_n"), F.max("_c._lacks").alias("_lacks"))
+    asked = wanted.groupBy(doc).agg(F.count("*").alias("_e"))
+    raw = numbered.groupBy(doc).agg(F.max("_raw").alias("_raw"))
+    joined = raw.join(asked, doc, "full_outer").join(counts, doc, "left")
+    n = F.coalesce("_n", F.lit(0))
+    outcome = F.when(F.col("_raw"), "raw-json-candidate-rejected").when(n == 0, "candidate-prefix-empty").when(F.col("_lacks"), "candidate-provenance-missing").otherwise("accepted")
+    batches = joined.select(doc, outcome.alias("outcome"), F.when(outcome == "accepted", n).otherwise(0).alias("total"), ((outcome == "accepted") & (F.coalesce("_e", F.lit(0)) > n)).alias("prefix_truncated"))
+    made = F.concat_ws("_", F.lit("draft"), F.col(doc).cast("string"), "order")
+    drafts = taken.join(batches.where("outcome = 'accepted'").select(doc), doc, "left_semi")
+    return drafts.select(doc, "order", F.coalesce(F.when(has_text("_c.id"), F.col("_c.id")), made).alias("id"), F.col("_c.number").alias("number"), F.col("_c.version").alias("version")), batches
+
+
 def missing_solution_reasons(questions: DataFrame, solved: DataFrame, rejected: DataFrame, fused: DataFrame) -> DataFrame:
     """(doc_id, number, reason) of questions without a solution: rejected before fused before not-collected."""
     key = ["doc_id", "number"]

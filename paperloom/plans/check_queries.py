@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import answers
 from paperloom.operators import admission, library, pages, profile, review
-from paperloom.plans.bank_queries import table
+from paperloom.plans.bank_queries import sequence_window, table
 from paperloom.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,17 +144,47 @@ def g16_truth_rows(spark, sf_dir):
 
 @query(
     """SELECT o_orderkey::VARCHAR AS id, list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'required:stem' END, CASE WHEN o_orderkey % 3 = 0 THEN 'invalid-type:order' END, CASE WHEN o_orderkey % 5 = 0 THEN 'invalid-type:confidence' END, CASE WHEN o_orderkey % 7 = 0 THEN 'objective-options-required:options' END,
-  CASE WHEN o_orderkey % 11 = 0 THEN 'objective-answer-not-label:answer' END], lambda x: x IS NOT NULL) AS errors FROM orders"""
+  CASE WHEN o_orderkey % 11 = 0 THEN 'objective-answer-not-label:answer' END, CASE WHEN o_orderkey % 2 != 0 AND o_orderkey % 13 = 0 THEN 'unsafe-wrapper:stem' END, CASE WHEN o_orderkey % 7 != 0 AND o_orderkey % 17 = 0 THEN 'unsafe-wrapper:options.1' END], lambda x: x IS NOT NULL) AS errors FROM orders"""
 )
 def g2_draft_rules(spark, sf_dir):
     k = F.col("o_orderkey")
     drafts = table(spark, sf_dir, "orders").select(
-        k.cast("string").alias("id"), F.lit("b").alias("batch_id"), F.lit("1").alias("question_number"), F.lit("单选题").alias("type"), F.when(k % 2 != 0, F.col("o_orderpriority")).otherwise(" ").alias("stem"), F.when(k % 3 == 0, 0).otherwise(1).alias("order"), F.when(k % 5 == 0, 1.5).otherwise(0.5).alias("confidence"),
-        F.when(k % 7 != 0, F.array(F.lit("a"))).otherwise(F.expr("cast(array() as array<string>)")).alias("options"), F.when(k % 11 == 0, "x").otherwise("AB").alias("answer"),
+        k.cast("string").alias("id"), F.lit("b").alias("batch_id"), F.lit("1").alias("question_number"), F.lit("单选题").alias("type"), F.when(k % 2 == 0, " ").when(k % 13 == 0, F.concat(F.lit(' {"stem": "'), "o_orderpriority", F.lit('"}'))).otherwise(F.col("o_orderpriority")).alias("stem"), F.when(k % 3 == 0, 0).otherwise(1).alias("order"), F.when(k % 5 == 0, 1.5).otherwise(0.5).alias("confidence"),
+        F.when(k % 7 != 0, F.array(F.lit("{a} or [b]"), F.when(k % 17 == 0, "```JSON\n[1]```").otherwise("[1"))).otherwise(F.expr("cast(array() as array<string>)")).alias("options"), F.when(k % 11 == 0, "x").otherwise("AB").alias("answer"),
     )
     return admission.validate_drafts(drafts).select("id", F.transform("errors", lambda e: F.concat_ws(":", e["code"], e["path"])).alias("errors"))
 
 
+_PACKAGE = """WITH l AS (SELECT l_orderkey AS doc, l_returnflag AS f, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+g AS (SELECT doc, count(*) AS n, bool_or(q = 50) AS raw, doc % 3 != 0 AS asked, coalesce(min(n) FILTER (q % 9 = 4), count(*) + 1) - 1 AS prefix FROM l GROUP BY doc),
+t AS (SELECT *, CASE WHEN asked THEN prefix ELSE n END AS taken FROM g),
+b AS (SELECT t.*, CASE WHEN raw THEN 'raw-json-candidate-rejected' WHEN taken = 0 THEN 'candidate-prefix-empty' WHEN EXISTS (SELECT 1 FROM l WHERE l.doc = t.doc AND l.n <= taken AND q = 49) THEN 'candidate-provenance-missing' ELSE 'accepted' END AS outcome FROM t) """
+
+
+def _package(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").cast("long").alias("q"), F.row_number().over(sequence_window()).alias("n"))
+    q, n = F.col("q"), F.col("n")
+    none = F.lit(None).cast("string")
+    # a number that is asked for and lacking stops the prefix; the first of two candidates for a number is a wrong one
+    asked = rows.where("doc_id % 3 != 0").select("doc_id", n.alias("ordinal"), F.concat(F.lit("第"), F.when(q % 9 == 4, n + 500).otherwise(n), F.lit("题")).alias("number"))
+    both = rows.select("*", F.explode(F.when(F.col("doc_id") % 3 != 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("v"))
+    candidates = both.select(
+        "doc_id", (n * 2 + F.col("v")).alias("ordinal"), n.cast("string").alias("number"), F.when(F.col("v") == 1, "wrong").when(q % 2 == 0, F.concat(F.lit("c"), n)).alias("id"), (q == 50).alias("raw_json"), F.lit("manual").alias("source_mode"), F.when(q != 49, "s").otherwise(" ").alias("source_id"),
+        F.lit("p").alias("provenance"), F.when(q % 5 == 0, 3).alias("version"),
+    )
+    return review.candidate_package(candidates, asked)
+
+
+@query(_PACKAGE + "SELECT doc AS doc_id, outcome, CASE WHEN outcome = 'accepted' THEN taken ELSE 0 END::BIGINT AS total, outcome = 'accepted' AND asked AND taken < n AS prefix_truncated FROM b")
+def c17_package_batches(spark, sf_dir):
+    return _package(spark, sf_dir)[1]
+
+
+@query(_PACKAGE + """SELECT doc AS doc_id, l.n::INT AS "order", CASE WHEN q % 2 = 0 THEN 'c' || l.n ELSE 'draft_' || doc || '_' || l.n END AS id, l.n::VARCHAR AS number, CASE WHEN q % 5 = 0 THEN 3 ELSE 1 END::INT AS version FROM l JOIN b USING (doc) WHERE outcome = 'accepted' AND l.n <= taken""")
+def c17_package_drafts(spark, sf_dir):
+    return _package(spark, sf_dir)[0]
+
+
 @query(
     """WITH q AS (SELECT p_partkey AS id, p_size AS s, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'meta ' || p_brand END AS grade, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_size::VARCHAR END AS diff, p_type AS type FROM part)
 SELECT 'total' AS facet, '' AS value, count(*) AS n FROM q UNION ALL SELECT 'grade', grade, count(*) FROM q GROUP BY grade UNION ALL SELECT 'diff', diff, count(*) FROM q WHERE diff != '' GROUP BY diff UNION ALL SELECT 'type', type, count(*) FROM q GROUP BY type UNION ALL SELECT 'withAnswer', '', count(*) FROM q"""

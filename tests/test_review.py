@@ -59,3 +59,24 @@ def test_result_class_and_samples(spark):
     assert got == {"a": "pass-full", "b": "fail-environment", "c": "pass-safe-partial", "d": "fail-unsafe", "e": "fail-environment"}
     samples = spark.createDataFrame([("m", i, "ocr" if i else "other", float(i - 3), None) for i in range(6)], "monitor string, ordinal int, stage string, duration_ms double, success boolean")
     assert [(r["ordinal"], r["duration_ms"], r["success"]) for r in profile.stage_samples(samples, 3).orderBy("ordinal").collect()] == [(3, 0.0, True), (4, 1.0, True), (5, 2.0, True)]
+
+
+def test_candidate_packages_go_whole_or_not_at_all(spark):
+    schema = "doc_id string, ordinal int, number string, id string, raw_json boolean, source_mode string, source_id string, provenance string, version int"
+    good = lambda d, i, n, id=None: (d, i, n, id, None, "manual", "s", "p", None)
+    rows = [good("a", 1, "1", "x"), good("a", 2, "第2题"), good("a", 3, "01", "y"), good("b", 1, "7"), ("b", 2, "8", None, True, "m", "s", "p", 1), good("c", 2, None), good("c", 1, "3", " "), good("d", 1, "2"), good("e", 1, "1"), ("e", 2, "2", "z", False, "m", "", "p", 4)]
+    wanted = [("a", 1, "1"), ("a", 2, "2"), ("a", 3, "3"), ("d", 1, "1"), ("e", 1, "1"), ("f", 1, "1"), ("c", 1, "none")]
+    drafts, batches = review.candidate_package(spark.createDataFrame(rows, schema), spark.createDataFrame(wanted, "doc_id string, ordinal int, number string"))
+    assert {r["doc_id"]: tuple(r)[1:] for r in batches.collect()} == {
+        "a": ("accepted", 2, True), "b": ("raw-json-candidate-rejected", 0, False), "c": ("accepted", 2, False), "d": ("candidate-prefix-empty", 0, False), "e": ("accepted", 1, False), "f": ("candidate-prefix-empty", 0, False),
+    }
+    assert sorted(tuple(r) for r in drafts.collect()) == [("a", 1, "y", "01", 1), ("a", 2, "draft_a_2", "第2题", 1), ("c", 1, "draft_c_1", "3", 1), ("c", 2, "draft_c_2", "", 1), ("e", 1, "draft_e_1", "1", 1)]
+
+
+def test_wrapped_output_is_no_draft_text(spark):
+    from paperloom.operators import admission
+
+    texts = ["```json\n{}", "```", "```python", " [1, 2] ", '{"a": 1}', "{a}", "[x] of y", "{", None, "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["y"] for r in sorted(df.select("i", admission.unsafe_wrapper(df["t"]).alias("y")).collect())]
+    assert got == [True, True, False, True, True, False, False, False, False, False]
