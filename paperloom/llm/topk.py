@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.shared import materialize
 
-#: Vectors among which pivots are chosen, pivots, and queries that are broadcast at once.
+#: Vectors among which pivots are chosen, pivots, and queries that are broadcast; more queries are dealt out in tiles.
 SAMPLE = 2048
 PIVOTS = 32
 QUERY_BLOCK = 2048
+#: Queries and candidates that meet in a tile on average.
+TILE_QUERIES = 8192
+TILE_ROWS = 65536
 #: Components up to which products and sums of any usual length are exact in 64 bits.
 _SMALL = 1 << 24
 _STEP = 64
@@ -122,26 +125,62 @@ def search(best: Best, query_rows, queries, query_distances, ids, rows, distance
     return evaluated
 
 
-def _search_batches(batches: Iterator[pa.RecordBatch], block, k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    query_rows, queries, query_distances = block.value
-    best = Best(len(queries), k)
+def _found(query_rows: np.ndarray, best: Best) -> pa.RecordBatch:
+    found = [(q, i, s) for q, rows in zip(query_rows.tolist(), best.rows, strict=True) for s, i in rows]
+    return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(3)], ["query", "vec_id", "score"])
+
+
+def _search_all(best: Best, queries: tuple, batches, dim: int) -> None:
+    """Search the pivot table's batches (vec_id, v, d, row) for the queries (rows, vectors, distances)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 8192):
             batch = whole.slice(at, 8192)
             rows = _matrix(batch.column(1), dim)
             distances = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            search(best, query_rows, queries, query_distances, batch.column(0).to_numpy(), rows, distances, batch.column(3).to_numpy())
-    found = [(q, i, s) for q, rows in zip(query_rows.tolist(), best.rows, strict=True) for s, i in rows]
-    yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(3)], ["query", "vec_id", "score"])
+            search(best, *queries, batch.column(0).to_numpy(), rows, distances, batch.column(3).to_numpy())
+
+
+def _search_batches(batches: Iterator[pa.RecordBatch], block, k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    best = Best(len(block.value[0]), k)
+    _search_all(best, block.value, batches, dim)
+    yield _found(block.value[0], best)
+
 
+def _queries(asked: pa.Table | pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, vectors and pivot distances of the queries, which are rows of the pivot table."""
+    vectors, distances, numbers = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (asked.column("v"), asked.column("d"), asked.column("row")))
+    return numbers.to_numpy(), _matrix(vectors, dim), distances.flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, query_block: int = QUERY_BLOCK) -> DataFrame:
+
+def _search_tiles(table: DataFrame, asked: DataFrame, n_rows: int, n_asked: int, k: int, dim: int, tile: tuple[int, int]) -> DataFrame:
+    """(query, vec_id, score): the k best of each query in each tile, where a block of queries meets a block of candidates.
+
+    Row numbers are unique and hashed to blocks, so no tile grows with the data or a key; nothing passes the driver.
+    """
+    blocks, chunks = -(-n_asked // tile[0]), -(-n_rows // tile[1])
+    number = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "row"), F.lit(n)).cast("int").alias(c)
+    every = lambda c, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    left = asked.select("v", "d", "row", number("block", blocks), every("chunk", chunks)).groupBy("block", "chunk")
+    right = table.select("vec_id", "v", "d", "row", number("chunk", chunks), every("block", blocks)).groupBy("block", "chunk")
+
+    def searched(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        if not len(queries):
+            return pa.Table.from_batches([_found(np.zeros(0, dtype=np.int64), Best(0, k))])
+        held = _queries(queries, dim)
+        best = Best(len(held[0]), k)
+        _search_all(best, held, candidates.to_batches(), dim)
+        return pa.Table.from_batches([_found(held[0], best)])
+
+    return left.cogroup(right).applyInArrow(searched, "query long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, tile: tuple[int, int] = (TILE_QUERIES, TILE_ROWS)) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k other rows of highest score.
 
     Ties go to the smaller vec_id. Rows that repeat a vec_id are told apart: each is a candidate for the other, and a
     query of its own. Pivots are chosen farthest-first from SAMPLE vectors in hashed order; they only steer
-    the bound, all rows take part. Queries are sent out in blocks of `query_block`, and each block reads the pivot table
-    once; a task returns its k best a query. See `quantised` for rows left out; vectors of different lengths are compared
+    the bound, all rows take part. Up to `query_block` counted queries are broadcast, and the pivot table is read once without
+    a shuffle; more queries meet the candidates in tiles of about `tile` (queries, candidates), each of which returns its k best a query. See `quantised` for rows left out; vectors of different lengths are compared
     as if zeros followed the shorter; scores beyond a long are held at its ends; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -155,27 +194,16 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_
         table = materialize(rows.mapInArrow(lambda it: _table_batches(it, chosen, dim), "vec_id long, v array<long>, d array<double>, row long"))
     else:
         table = rows.select("vec_id", "v", F.array(F.lit(0.0)).alias("d"), "row")
-        chosen = np.zeros((1, dim))
-    found = None
-    asked = rows.where(F.col("vec_id") % every == 0)
-    for ids, block in _query_blocks(asked, query_block, dim):
-        held = spark.sparkContext.broadcast((ids, block, pivot_distances(block, chosen)))
-        part = table.mapInArrow(lambda it, held=held: _search_batches(it, held, k, dim), "query long, vec_id long, score long")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
+    asked = table.where(F.col("vec_id") % every == 0)
+    n_asked = asked.count()
+    if n_asked == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if n_asked <= query_block:
+        held = spark.sparkContext.broadcast(_queries(asked.select("v", "d", "row").toArrow(), dim))
+        found = table.mapInArrow(lambda it: _search_batches(it, held, k, dim), "query long, vec_id long, score long")
+    else:
+        found = _search_tiles(table, asked, table.count(), n_asked, k, dim, tile)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     best = found.withColumn("rank", place).where(F.col("rank") <= k)
     return best.join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
-
-def _query_blocks(queries: DataFrame, size: int, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for row in queries.toLocalIterator():
-        ids.append(row["row"])
-        rows.append([*row["v"], *[0] * (dim - len(row["v"]))])
-        if len(ids) == size:
-            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64).reshape(len(ids), dim)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64).reshape(len(ids), dim)

@@ -30,8 +30,10 @@ def test_against_brute_force(spark, big):
     rows += [(200 + i, [0.5, 0.25, 0.0, -0.1, 0.3, 0.2]) for i in range(30)]
     rows += [(300, None), (310, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (320, [float("nan")] * 6), (330, [float("inf")] * 6), (None, [1.0] * 6), (340, []), (341, [0.5, 0.5]), (10, [9.0] * 6), (10, rows[10][1])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, score string, rank int").repartition(3)
-    got = sorted(tuple(r) for r in topk.top_k(df, every=10, k=7, query_block=5, pivots=4).collect())
-    assert got == slow(rows, 7, 10)
+    wanted = slow(rows, 7, 10)
+    for block, tile in ((5, (4, 30)), (5, (1, 200)), (100, (1, 1))):  # dealt out in tiles, some of them without queries; broadcast
+        got = sorted(tuple(r) for r in topk.top_k(df, every=10, k=7, query_block=block, pivots=4, tile=tile).collect())
+        assert got == wanted
 
 
 def test_few_rows(spark):
