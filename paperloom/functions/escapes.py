@@ -1,4 +1,4 @@
-"""Backslashes of LaTeX commands inside JSON strings: detection, repair, count and commands, by token patterns."""
+"""Backslashes of LaTeX commands inside JSON strings: detection, repair, count and commands, by token patterns; questions of the repaired text."""
 
 from __future__ import annotations
 
@@ -48,3 +48,29 @@ def repair_backslashes(text: str | Column) -> Column:
     broken = _broken(F.flatten(F.transform(_strings(body), tokens_of)), _KEPT)
     commands = F.array_intersect(F.transform(broken, lambda t: F.substring(t, F.lit(2), F.length(t))), F.array(*map(F.lit, COMMANDS)))
     return F.struct(fixed.alias("text"), (fixed != value).alias("changed"), F.size(broken).alias("repairs"), commands.alias("commands"))
+
+
+def parse_questions(text: str | Column, path: str = "$.questions") -> Column:
+    """struct(ok, method, reason, questions, repairs, commands): the questions of a JSON text, each as JSON with its keys in order.
+
+    The root is an array of questions or an object that holds one at `path`. A text with bare backslashes is parsed after
+    their repair, also where it would parse as it is: its commands would turn into control characters. Null, empty and
+    broken texts fail with parse-failed, texts without a question with no-questions.
+    """
+    value = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    fixed = repair_backslashes(value)
+
+    def parsed(r: Column) -> Column:
+        root = F.try_parse_json(r["text"])
+        found = F.coalesce(F.try_variant_get(root, "$", "array<variant>"), F.try_variant_get(root, path, "array<variant>"))
+        questions = F.coalesce(F.transform(found, lambda q: F.to_json(q)), F.expr("cast(array() as array<string>)"))
+        ok = F.size(questions) > 0
+        return F.struct(
+            ok.alias("ok"),
+            F.when(ok & r["changed"], "json-latex-backslash-repair").when(ok, "json").alias("method"),
+            F.when(root.isNull(), "parse-failed").when(~ok, "no-questions").alias("reason"),
+            questions.alias("questions"), r["repairs"].alias("repairs"), r["commands"].alias("commands"),
+        )
+
+    # the array of one makes the repair a variable, which is computed once
+    return F.get(F.transform(F.array(fixed), parsed), F.lit(0))

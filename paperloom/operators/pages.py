@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.answers import final_choice
+from paperloom.functions.latex import clean_texts
 from paperloom.functions.text import SPACE, _col, normal_box, trimmed
 
 # Question markers, signs of broken glyphs, LaTeX and choices.
@@ -77,6 +79,12 @@ def math_signals(text: str | Column) -> Column:
     return sum((F.regexp_count(t, F.lit(p)) for p in MATH_SIGNALS), F.lit(0))
 
 
+def cleaned_signals(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with `signals` (see `math_signals`) and `choice` (see `final_choice`) of their cleaned text; the text itself stays as it is."""
+    cleaned = clean_texts(rows.withColumn("_clean", F.col(text)), "_clean")
+    return cleaned.withColumns({"signals": math_signals("_clean"), "choice": final_choice("_clean")}).drop("_clean")
+
+
 def useful_text_layer(text: str | Column) -> Column:
     """At least 80 characters, two question markers and the choices A and B."""
     t = F.translate(F.coalesce(_col(text), F.lit("")), _WIDE + "ＡＢＣＤ", _NARROW + "ABCD")

@@ -12,6 +12,7 @@ from paperloom.operators.pages import question_blocks
 # What an adapted draft is marked with.
 UNKNOWN_SOURCE = "legacy:unknown"
 REVIEW_WARNING = "legacy-compatibility-manual-review-required"
+LEGACY_QUESTION = "legacy-formal-question"
 
 
 def _filled(options: Column) -> Column:
@@ -51,3 +52,29 @@ def adapt_drafts(drafts: DataFrame) -> DataFrame:
             "options": F.coalesce("options", none), "warnings": F.concat(F.coalesce("warnings", none), F.array(F.lit(REVIEW_WARNING))),
         }
     ).drop("order", "question")
+
+
+def adapt_questions(questions: DataFrame, schema: str = "question.legacy-read.v1") -> DataFrame:
+    """Stored questions of an older form, readable in the new one: marked as read-only, with the version that they had.
+
+    Every column is kept; schema_version becomes `schema`, admission, provenance and recognition are null, whatever they
+    were, and compatibility is a struct (read_only, original_schema_version, source). An empty version counts as none.
+    """
+    had = F.nullif(F.col("schema_version").cast("string"), F.lit("")) if "schema_version" in questions.columns else F.lit(None).cast("string")
+    mark = F.struct(F.lit(True).alias("read_only"), had.alias("original_schema_version"), F.lit(LEGACY_QUESTION).alias("source"))
+    none = {c: F.lit(None).cast("string") for c in ("admission", "provenance", "recognition")}
+    return questions.withColumns({"compatibility": mark, "schema_version": F.lit(schema)} | none)
+
+
+def review_drafts(drafts: DataFrame, schema: str = "question.v2") -> DataFrame:
+    """Structured drafts in the older form that reviews work on: the way back of `adapt_drafts`.
+
+    drafts has (source_id, source_order, question_number, type, stem, answer, solution) and may have options, images,
+    warnings (arrays), provenance, confidence_by_field (JSON texts), raw_evidence and schema_version; where these are missing or null they get
+    their empty value, raw_evidence stays null. question repeats the number, order the place. Other columns are kept.
+    """
+    empty = F.expr("cast(array() as array<string>)")
+    defaults = {c: F.lit("") for c in ("source_id", "question_number", "type", "stem", "answer", "solution")}
+    defaults |= {"options": empty, "images": empty, "warnings": empty, "provenance": F.lit("{}"), "confidence_by_field": F.lit("{}"), "raw_evidence": F.lit(None).cast("string"), "schema_version": F.lit(schema)}
+    filled = {c: F.coalesce(F.col(c), d) if c in drafts.columns else d for c, d in defaults.items()}
+    return drafts.withColumns(filled).withColumns({"question": F.col("question_number"), "order": F.col("source_order")})
