@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom.functions.latex import MEDIA, has_media, saved_option
-from paperloom.functions.text import SPACE, _col, has_text, trimmed
+from paperloom.functions.text import SPACE, _col, has_text, once, trimmed
 
 # Option labels, section heads, figure words and messages of services that stay out of order.
 LETTERS = ["A", "B", "C", "D"]
@@ -30,12 +30,11 @@ def _marked(text: Column, pattern: str) -> Column:
     """array<struct<label,raw,content>> of the text's pieces from one label to the next; the first has no label."""
     pieces = F.split(F.regexp_replace(text, pattern, f"$1{_START}$3{_NAMED}$2{_MARK}"), _START)
 
-    def piece(x: Column) -> Column:
-        named, rest = F.split(x, _NAMED), F.split(F.element_at(F.split(x, _NAMED), -1), _MARK)
+    def piece(named: Column) -> Column:
         label = F.when(F.size(named) > 1, F.translate(F.get(named, F.lit(0)), "ＡＢＣＤ", "ABCD"))
-        return F.struct(label.alias("label"), F.array_join(rest, "").alias("raw"), F.element_at(rest, -1).alias("content"))
+        return once(F.split(F.element_at(named, -1), _MARK), lambda rest: F.struct(label.alias("label"), F.array_join(rest, "").alias("raw"), F.element_at(rest, -1).alias("content")))
 
-    return F.transform(pieces, piece)
+    return F.transform(pieces, lambda x: once(F.split(x, _NAMED), piece))
 
 
 def _four(values: Column) -> Column:
@@ -48,9 +47,6 @@ def split_options(text: str | Column) -> Column:
     Labels out of order stay in the option they stand in. The stem must not be empty, and two options must say more than a label.
     """
     folded = F.translate(F.coalesce(_col(text), F.lit("")), "ＡＢＣＤ\r", "ABCD\n")
-    pieces = _marked(F.regexp_replace(folded, f"([A-D])[{SPACE}]*[．.、:：][{SPACE}]*", "$1. "), SPLIT_LABEL)
-    first = F.array_position(F.transform(pieces, lambda p: F.coalesce(p["label"], F.lit(""))), "A").cast("int")
-    stem = trimmed(F.array_join(F.transform(F.slice(pieces, F.lit(1), F.greatest(first - 1, F.lit(0))), lambda p: p["raw"]), ""))
     letters = F.array(*map(F.lit, LETTERS))
 
     def take(found: Column, p: Column) -> Column:
@@ -58,11 +54,21 @@ def split_options(text: str | Column) -> Column:
         longer = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.concat(F.element_at(found, -1), p["raw"])))
         return F.when(F.coalesce(wanted, F.lit(False)), F.concat(found, F.array(p["content"]))).otherwise(longer)
 
-    after = F.slice(pieces, first + 1, F.greatest(F.size(pieces) - first, F.lit(0)))
-    values = F.aggregate(after, F.array(F.get(pieces, first - 1)["content"]), take)
-    cut = F.transform(values, lambda v: trimmed(F.regexp_replace(v, f"(?i)^[{SPACE}]*[A-D][{SPACE}]*[.．、:：)）]?[{SPACE}]*", "")))
-    says = F.size(F.filter(cut, lambda v: ~F.regexp_replace(v, f"[.{SPACE}、，。:：；;()（）]", "").rlike("(?i)^[A-D]?$")))
-    return F.when(first > 0, F.when((F.size(values) >= 2) & (stem != "") & (says >= 2), F.struct(stem.alias("stem"), _four(cut).alias("options"))))
+    bare = lambda v: trimmed(F.regexp_replace(v, f"(?i)^[{SPACE}]*[A-D][{SPACE}]*[.．、:：)）]?[{SPACE}]*", ""))
+    says = lambda v: ~F.regexp_replace(v, f"[.{SPACE}、，。:：；;()（）]", "").rlike("(?i)^[A-D]?$")
+
+    # each step is computed once: within array functions Spark would repeat it wherever it is named
+    def cut(pieces: Column) -> Column:
+        def split(first: Column) -> Column:
+            stem = trimmed(F.array_join(F.transform(F.slice(pieces, F.lit(1), F.greatest(first - 1, F.lit(0))), lambda p: p["raw"]), ""))
+            after = F.slice(pieces, first + 1, F.greatest(F.size(pieces) - first, F.lit(0)))
+            values = F.transform(F.aggregate(after, F.array(F.get(pieces, first - 1)["content"]), take), bare)
+            fit = lambda x: F.when((F.size(x["v"]) >= 2) & (x["stem"] != "") & (F.size(F.filter(x["v"], says)) >= 2), F.struct(x["stem"].alias("stem"), _four(x["v"]).alias("options")))
+            return F.when(first > 0, once(F.struct(stem.alias("stem"), values.alias("v")), fit))
+
+        return once(F.array_position(F.transform(pieces, lambda p: F.coalesce(p["label"], F.lit(""))), "A").cast("int"), split)
+
+    return once(_marked(F.regexp_replace(folded, f"([A-D])[{SPACE}]*[．.、:：][{SPACE}]*", "$1. "), SPLIT_LABEL), cut)
 
 
 def option_says(value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.answers import final_choice
 from paperloom.functions.latex import clean_texts
-from paperloom.functions.text import SPACE, _col, normal_box, trimmed
+from paperloom.functions.text import SPACE, _col, normal_box, once, trimmed
 
 # Question markers, signs of broken glyphs, LaTeX and choices.
 QUESTION_MARK = f"(?:^|\\n)[{SPACE}]*(?:第[{SPACE}]*([0-9０-９]{{1,3}})[{SPACE}]*题|[（(][{SPACE}]*([0-9０-９]{{1,3}})[{SPACE}]*[)）]|([0-9０-９]{{1,3}})[{SPACE}]*[.．、:：)）])[{SPACE}]*"
@@ -47,17 +47,19 @@ def question_blocks(text: str | Column) -> Column:
     Blank space after a marker belongs to it, so a marker on the line after an empty question starts no block.
     """
     clean = trimmed(F.regexp_replace(F.coalesce(_col(text), F.lit("")), "\\r\\n?", "\n"))
-    pieces = F.split(F.regexp_replace(clean, QUESTION_MARK, f"{_START}$1$2$3{_NUMBER}$0{_MARK}"), _START)
 
-    def block(piece: Column) -> Column:
-        head = F.split(piece, _NUMBER)
-        parts = F.split(F.get(head, F.lit(1)), _MARK)
-        body = F.get(parts, F.lit(1))
-        return F.struct(F.translate(F.get(head, F.lit(0)), _WIDE, _NARROW).alias("number"), trimmed(F.concat(F.get(parts, F.lit(0)), body)).alias("raw"), trimmed(body).alias("body"))
+    def parted(head: Column) -> Column:
+        number = F.translate(F.get(head, F.lit(0)), _WIDE, _NARROW)
+        return once(F.split(F.get(head, F.lit(1)), _MARK), lambda p: F.struct(number.alias("number"), trimmed(F.concat(F.get(p, F.lit(0)), F.get(p, F.lit(1)))).alias("raw"), trimmed(F.get(p, F.lit(1))).alias("body")))
 
-    cut = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), block)
-    whole = F.array(F.struct(F.lit("1").alias("number"), clean.alias("raw"), clean.alias("body")))
-    return F.when(clean == "", F.slice(whole, 1, 0)).when(F.size(pieces) == 1, whole).otherwise(cut)
+    def blocks(pieces: Column) -> Column:
+        cut = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: once(F.split(x, _NUMBER), parted))
+        # the text before the first marker is dropped; without one it is all of the text
+        all_ = F.get(pieces, F.lit(0))
+        whole = F.array(F.struct(F.lit("1").alias("number"), all_.alias("raw"), all_.alias("body")))
+        return F.when(F.size(pieces) > 1, cut).when(all_ == "", F.slice(whole, 1, 0)).otherwise(whole)
+
+    return once(F.split(F.regexp_replace(clean, QUESTION_MARK, f"{_START}$1$2$3{_NUMBER}$0{_MARK}"), _START), blocks)
 
 
 def text_signals(text: str | Column) -> Column:

@@ -1,6 +1,10 @@
 """Refilled and adapted drafts on small rows."""
 
+from pyspark.sql import functions as F
+
+from paperloom.functions.options import split_options
 from paperloom.operators import refill
+from paperloom.operators.pages import question_blocks
 
 
 def test_refill_options(spark):
@@ -19,3 +23,9 @@ def test_adapt_drafts(spark):
     assert [(g["source_id"], g["source_known"], g["source_order"], g["question_number"], g["stem"], g["options"], g["warnings"]) for g in got] == [
         ("legacy:unknown", False, 4, "7", "s", [], [refill.REVIEW_WARNING]), ("x", True, 2, "8", "", ["a"], ["w", refill.REVIEW_WARNING]),
     ]
+
+
+def test_texts_are_searched_once(spark):
+    """A search stands once in the plan; before, every use of its result repeated it."""
+    plan = spark.range(1).select(F.concat(F.lit("1. x A. one B. two"), "id").alias("t")).select(split_options("t").alias("o"), question_blocks("t").alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\u4e00-\\u9fa5") == 1 and plan.count("[)）]|([0-9０-９]") == 1
