@@ -61,7 +61,9 @@ def _entries(spark, sf_dir) -> DataFrame:
             out.append(held.getvalue())
         return pd.Series(out, dtype=object)
 
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_id"), packed("p_partkey", "p_name", "p_type", "p_size").alias("content"))
+    # rows of a small file grow into archives: every core packs and opens its share
+    parts = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    files = parts.select(F.col("p_partkey").cast("string").alias("file_id"), packed("p_partkey", "p_name", "p_type", "p_size").alias("content"))
     return written(office.archive_entries(files))
 
 

@@ -32,15 +32,12 @@ PIECES = (
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'")]
 #: Levels of formulas within formulas that are rewritten; deeper ones keep their plain text.
 LEVELS = 6
+#: Rows and code points of text at which unzipped entries leave the Python worker; an archive isn't split.
+FRAME_ROWS, FRAME_CHARS = 10_000, 8_000_000
 
 
-def archive_entries(files: DataFrame, max_entry_bytes: int = 50_000_000, max_ratio: int = 200) -> DataFrame:
-    """(file_id, entry, bytes, text, error) of every entry of the archives (file_id string, content binary).
-
-    The text is read of the document and its relationships alone. An archive that can't be opened has one row with the error
-    archive-invalid; an entry that is, or unpacks to, more than the bounds has entry-too-large or ratio-exceeded
-    and no text, a damaged one entry-damaged. At most `max_entry_bytes` are unpacked of an entry. Null contents are invalid.
-    """
+def opener(max_entry_bytes: int = 50_000_000, max_ratio: int = 200):
+    """What reads a partition's archives: batches of (file_id, content) to frames of their entries, see `archive_entries`."""
 
     def opened(file_id: str, content: bytes | None) -> list[tuple]:
         try:
@@ -65,12 +62,35 @@ def archive_entries(files: DataFrame, max_entry_bytes: int = 50_000_000, max_rat
             rows.append((file_id, entry.filename, entry.file_size, text, error))
         return rows
 
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file_id", "entry", "bytes", "text", "error"]).astype({"bytes": "Int64"})
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for file_id, content in zip(batch["file_id"], batch["content"]):
-                yield pd.DataFrame(opened(file_id, content), columns=["file_id", "entry", "bytes", "text", "error"]).astype({"bytes": "Int64"})
+                found = opened(file_id, content)
+                rows += found
+                held += sum(len(r[3]) for r in found if r[3])
+                # a frame costs far more than a small archive's rows
+                if len(rows) >= FRAME_ROWS or held >= FRAME_CHARS:
+                    yield framed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield framed(rows)
+
+    return each
+
+
+def archive_entries(files: DataFrame, max_entry_bytes: int = 50_000_000, max_ratio: int = 200) -> DataFrame:
+    """(file_id, entry, bytes, text, error) of every entry of the archives (file_id string, content binary).
+
+    The text is read of the document and its relationships alone. An archive that can't be opened has one row with the error
+    archive-invalid; an entry that is, or unpacks to, more than the bounds has entry-too-large or ratio-exceeded
+    and no text, a damaged one entry-damaged. At most `max_entry_bytes` are unpacked of an entry. Null contents are invalid.
+    """
 
-    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(each, "file_id string, entry string, bytes long, text string, error string")
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(opener(max_entry_bytes, max_ratio), "file_id string, entry string, bytes long, text string, error string")
 
 
 def _decoded(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paperloom.sources import office
@@ -36,6 +37,16 @@ def test_bounds(spark):
     assert entries(spark, bytes(broken)).where("error = 'entry-damaged'").count() == 1
 
 
+def test_small_archives_share_frames(spark, monkeypatch):
+    """Many archives leave the worker in few frames, and none is lost where a frame is full."""
+    files = pd.DataFrame({"file_id": [str(i) for i in range(30)], "content": [packed("<w:p><w:t>a</w:t></w:p>")] * 30})
+    for rows, chars, frames in ((10_000, 8_000_000, 1), (7, 8_000_000, 8), (10_000, 50, 10)):
+        monkeypatch.setattr(office, "FRAME_ROWS", rows)
+        monkeypatch.setattr(office, "FRAME_CHARS", chars)
+        got = list(office.opener()(iter([files[:10], files[10:]])))
+        assert len(got) == frames and sum(map(len, got)) == 60 and pd.concat(got)["file_id"].nunique() == 30
+
+
 def test_relationships(spark):
     rels = """<Relationship Id="r1" Target="media/a.PNG" Type="t"/><Relationship Id='r2' Target='../media/b.wmf'/><Relationship Id="r3" Target="/word/media/c.jpeg"/><Relationship Id="r4" Target="word\\media\\d"/><Relationship Id="r1" Target="media/z.gif"/><Relationship Target="none"/>"""
     got = {r["id"]: tuple(r)[2:] for r in office.relationships(entries(spark, packed("", rels, ["word/media/b.wmf", "word/media/z.gif"]))).collect()}
