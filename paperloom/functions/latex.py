@@ -117,13 +117,12 @@ def _shown(text: Column, parts: Column) -> Column:
 
 
 def _put_back(text: Column, raws: Column) -> Column:
-    pieces = F.split(text, _OPEN)
-
-    def one(piece: Column, i: Column) -> Column:
+    def one(piece: Column, i: Column, raws: Column) -> Column:
         halves = F.split(piece, _SHUT)
         return F.when(i == 0, piece).otherwise(F.concat(F.coalesce(F.get(raws, F.get(halves, F.lit(0)).try_cast("int")), F.lit("")), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))))
 
-    return F.array_join(F.transform(pieces, one), "")
+    # the list is made once, not once more for each piece
+    return once(raws, lambda r: F.array_join(F.transform(F.split(text, _OPEN), lambda piece, i: one(piece, i, r)), ""))
 
 
 def _chain(text: Column, steps: list[tuple[str, str]]) -> Column:

@@ -129,3 +129,9 @@ def test_small_rules(spark):
     parts = many(spark, O.answer_sections, ["B\n参考解析： 因为", "B"])
     assert [(p["answer_part"], p["solution_part"]) for p in parts] == [("B", "因为"), ("B", "B")]
     assert many(spark, lambda c: F.size(O.media_tokens(c)), ["[[IMAGE:a]] [[FORMULA_IMAGE:b]]", None]) == [2, 0]
+
+
+def test_formulas_are_listed_once_a_text(spark):
+    rows = spark.createDataFrame([("a ﷐1﷑ b ﷐0﷑", ["x", "y"])], "t string, r array<string>").select(L._put_back(F.col("t"), F.reverse("r")).alias("t"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert rows.first()["t"] == "a x b y" and plan.index("reverse(") < plan.index("split(")  # outside the loop over the pieces
