@@ -3,17 +3,15 @@
 A set's sketch is the least hash of each of BANDS * ROWS equal ranges of hash values (one permutation, many bins), and
 ROWS neighbouring bins make a band. Sets of similarity 0.8 share no band with a chance of (1 - 0.8**3)**8 = 0.3 %.
 
-No bucket of sets that share a band is paired up. First each set is compared with the least of its buckets. A bucket that
-still holds several components is compared across these if it has up to SMALL sets, and is split by finer keys if it has
-more: two bands together. In every finer bucket each set is compared with those that come first and last in several
-orders, and small finer buckets are compared across components again. So a set is in a bounded number of comparisons however large its group is; similar sets of a large group are linked over
-others of the group, or meet in a small finer bucket.
+First each set is compared with the least of its buckets. A bucket that still holds several components is compared across
+these if it has up to SMALL sets. The sets of larger ones meet by their rarest hashes: of n hashes, a similar set must
+hold one of the n - ceil(similarity * n) + 1 that come first in the order of their counts. So no pair of sets that share
+a band and are similar is lost, however large the bucket, and only sets of different components are paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +26,8 @@ BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 BROADCAST_ROWS = 500_000
 #: Sets in a bucket up to which those of different components are compared with each other.
 SMALL = 16
-DEPTH = 2
-#: The first and the last set of a finer bucket, in the order of its number's bits turned by each mask, are compared with all others.
-ORDERS = (0, 0x5DB3D742C1A6E98F)
+#: Sets of a hash that one task pairs with all others of that hash.
+TILE = 1000
 
 Hashes = Callable[[str | Column], Column]
 
@@ -79,17 +76,6 @@ def _several(rows: DataFrame) -> DataFrame:
     return materialize(matching(rows, materialize(keys), ["key"]))
 
 
-def _heads(rows: DataFrame, orders: tuple[int, ...]) -> DataFrame:
-    """(u, v): each row (key, node, root) with the first and the last node of its key in the orders, where their roots differ."""
-    turned = [F.col("node").bitwiseXOR(F.lit(m)) for m in orders]
-    ends = [f(t).bitwiseXOR(F.lit(m)) for t, m in zip(turned, orders, strict=True) for f in (F.min, F.max)]
-    # aggregates of plain longs need no sorting
-    heads = rows.groupBy("key").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
-    met = rows.join(heads, "key").select("node", "root", F.explode(F.array_distinct(F.array(*[f"e{i}" for i in range(len(ends))]))).alias("head")).where("node != head").distinct()
-    rooted = rows.select(F.col("node").alias("head"), F.col("root").alias("head_root")).distinct()
-    return met.join(rooted, "head").where("root != head_root").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v"))
-
-
 def _within(rows: DataFrame) -> DataFrame:
     """(u, v): the pairs of rows (key, node, root) of one key that differ in root; for keys of few rows."""
     other = rows.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
@@ -105,19 +91,34 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.unionAll(moved.join(roots, "node", "left_anti").select("node", "root")))
 
 
-def _finer(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """(key, node, root) of the nodes of rows, a key for every `depth` bands together that are all there."""
-    held = [F.when(F.concat(*[F.col(c).cast("string") for c in cs]).isNotNull(), F.xxhash64(*cs)) for cs in combinations(BAND_COLUMNS, depth)]
-    members = rows.select("node", "root").distinct().join(nodes, "node")
-    return members.select(F.explode(F.array_compact(F.array(*held))).alias("key"), "node", "root")
+def _by_rare_hashes(rows: DataFrame, sets: DataFrame, similarity: float, hashes: Hashes) -> DataFrame:
+    """(u, v): the pairs of rows (node, root) that differ in root and can have the similarity by their sizes and rarest hashes.
 
-
-def similar_sets(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Hashes, similarity: float = SIMILARITY, *, more: DataFrame | None = None, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    Of a hash's sets those outside its most frequent component are paired with all others; these are the pairs across components.
+    """
+    held = sets.join(rows, "node").select("node", "root", "n", F.explode(F.array_distinct(hashes("line"))).alias("h"))
+    held = materialize(held)
+    counts = held.groupBy("h").agg(F.count("*").alias("c"))
+    # a hash of one set is no candidate, but has its place in the order
+    ordered = F.array_sort(F.collect_list(F.struct("c", "h")))
+    first = held.join(counts, "h").groupBy("node", "root", "n").agg(ordered.alias("o"))
+    first = first.select("node", "root", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))).alias("x"))
+    first = materialize(first.where("x.c > 1").select("node", "root", "n", F.col("x.h").alias("h")))
+    roots = first.groupBy("h", "root").agg(F.count("*").alias("c"))
+    hashes_ = roots.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("_main"), F.sum("c").alias("_all"), F.max("c").alias("_most"), F.count("*").alias("_n")).where("_n > 1")
+    hashes_ = materialize(hashes_.select("h", "_main", F.ceil((F.col("_all") - F.col("_most")) / F.lit(TILE)).cast("int").alias("_tiles")))
+    met = first.join(hashes_, "h")
+    few = met.where("root != _main").select("h", F.pmod(F.xxhash64("node"), "_tiles").cast("int").alias("_t"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("nu"))
+    every = met.select("h", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nv"))
+    pairs = every.join(few, ["h", "_t"]).where("ra != rb").where(F.least("nu", "nv") >= _needed(similarity))
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def similar_sets(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Hashes, similarity: float = SIMILARITY, *, more: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes in components of similar sets; nodes without a similar one have no row.
 
     `nodes` has (node long, the BAND_COLUMNS), a row for each different text; `texts` gives (node, line) of the nodes
-    asked for in a DataFrame (node); `more` has further pairs (u, v) to compare, u < v. More `orders` find
-    more links of large groups at more comparisons. No rows give no rows.
+    asked for in a DataFrame (node); `more` has further pairs (u, v) to compare, u < v. No rows give no rows.
     """
     keys = nodes.select("node", F.explode(F.array_compact(F.array(*BAND_COLUMNS))).alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"))
@@ -127,15 +128,10 @@ def similar_sets(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], hash
     wanted = met.select("node") if more is None else met.select("node").unionAll(tested.select("u")).unionAll(tested.select("v"))
     sets = materialize(texts(materialize(wanted.distinct())).withColumn("n", F.size(F.array_distinct(hashes("line")))))
     roots = materialize(connected_components(materialize(_similar(tested, sets, similarity, hashes))))
-    rows = met
-    for depth in range(1, DEPTH + 1):
-        rows = _several(_rooted(rows, roots))
-        large = rows.where(F.col("c") > SMALL)
-        pairs = _within(rows.where(F.col("c") <= SMALL))
-        if depth < DEPTH:
-            rows = materialize(_finer(large, nodes, depth + 1))
-            pairs = pairs.unionAll(_heads(rows, orders))
-        new = materialize(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
-        tested = tested.unionAll(new)
-        roots = _joined(roots, materialize(_similar(new, sets, similarity, hashes)))
-    return roots
+    rows = _several(_rooted(met, roots))
+    large = materialize(rows.where(F.col("c") > SMALL).select("node", "root").distinct())
+    pairs = _within(rows.where(F.col("c") <= SMALL))
+    if large.limit(1).count():
+        pairs = pairs.unionAll(_by_rare_hashes(large, sets, similarity, hashes))
+    new = materialize(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
+    return _joined(roots, materialize(_similar(new, sets, similarity, hashes)))

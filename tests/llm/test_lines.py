@@ -125,6 +125,28 @@ def test_large_bucket_and_repeats(spark, monkeypatch, limit):
     assert sum(r["n_kept"] for r in got) == len({(r["doc_id"]) for r in got if r["n_kept"]}) + 2 * (0 if (0, 0) in dropped else 1)
 
 
+@pytest.mark.parametrize("seed,tile", [(1, 1000), (2, 7)])
+def test_large_buckets_lose_no_pair_that_shares_a_band(spark, monkeypatch, seed, tile):
+    """Every similar pair of a large group of variants that meets in a band is in one component."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    rng = random.Random(seed)
+    words = [f"word{j:03d}xyz" for j in range(200)]
+    base = [rng.choice(words) for _ in range(40)]
+    rows = []
+    for i in range(200):
+        line = list(base)
+        for _ in range(rng.choice([2, 3, 4])):
+            line[rng.randrange(40)] = f"own{i:04d}{rng.randrange(10**4):04d}"
+        rows.append((i, " ".join(line)))
+    named = minhash.with_bands(spark.createDataFrame(rows, "node long, line string"), lines.character_hashes("line")).cache()
+    bands = {r["node"]: {r[b] for b in minhash.BAND_COLUMNS if r[b] is not None} for r in named.collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = minhash.similar_sets(named.drop("line"), lambda wanted: named.select("node", "line").join(wanted, "node"), lambda t: lines.character_hashes(t))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    assert len(links) > 40 and all(a in root and root[a] == root.get(b) for a, b in links)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.line_report(docs).count() == 0 and lines.dedup_lines(docs).count() == 0
