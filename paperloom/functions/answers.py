@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import SPACE, _col, once, trimmed
+from paperloom.functions.text import _BLANKS, SPACE, _col, once, trimmed
 
 # LaTeX commands, label shapes and shapes of broken answers.
 SAFE_COMMANDS = ["text", "mathrm", "mathbf", "mathit", "mathsf", "texttt", "textrm", "textsf", "textup", "textnormal", "textbf", "textit", "emph"]
@@ -34,17 +34,26 @@ _WRAPPER = rf"^\\(?:[A-Za-z]|(?i:{'|'.join(SAFE_COMMANDS)}))\s*\{{\s*([A-Fa-f])\
 
 def math_key(c: str | Column) -> Column:
     """What two option values must share to count as equal."""
-    shell = unwrapped_math(c)
-    plain = F.regexp_replace(F.translate(shell, "−－（），。；：、", "--()"), f"[{SPACE}]+", "")
-    return F.lower(F.regexp_replace(plain, r"^\{|\}$", ""))
+    return _shell_key(unwrapped_math(c))
+
+
+def _shell_key(shell: Column) -> Column:
+    """`math_key` of a text without its dollars and math brackets."""
+    bare = lambda t: F.when(t.contains("{") | t.contains("}"), F.regexp_replace(t, r"^\{|\}$", "")).otherwise(t)
+    return F.lower(once(F.translate(shell, "−－（），。；：、" + _BLANKS, "--()"), bare))
 
 
 def unwrapped_math(c: str | Column) -> Column:
     """The text without the dollars or math brackets around it."""
-    out = trimmed(c)
-    for pattern in (r"^\$+|\$+$", r"^\\\(|\\\)$", r"^\\\[|\\\]$"):
-        out = F.regexp_replace(out, pattern, "")
-    return trimmed(out)
+
+    def bare(t: Column) -> Column:
+        out = t
+        for pattern in (r"^\$+|\$+$", r"^\\\(|\\\)$", r"^\\\[|\\\]$"):
+            out = F.regexp_replace(out, pattern, "")
+        # most texts have none of these signs and need no pattern
+        return F.when(t.contains("$") | t.contains("\\"), trimmed(out)).otherwise(t)
+
+    return once(trimmed(c), bare)
 
 
 def answer_quality(answer: str | Column, allowed: Column | None = None, max_length: int = 40) -> Column:
@@ -85,11 +94,11 @@ def labelled_options(options: str | Column) -> Column:
     pattern = r"(?is)^([A-F])[.、)]\s*(.*)$"
 
     def one(x: Column, i: Column) -> Column:
-        t = trimmed(x)
-        has = t.rlike(pattern)
-        own = F.upper(F.regexp_extract(t, pattern, 1))
-        text = F.when(has, trimmed(F.regexp_extract(t, pattern, 2))).otherwise(t)
-        return F.struct(F.when(has, own).otherwise(F.chr(i + 65)).alias("label"), text.alias("text"))
+        def told(t: Column) -> Column:
+            own = F.struct(F.upper(F.regexp_extract(t, pattern, 1)).alias("label"), trimmed(F.regexp_extract(t, pattern, 2)).alias("text"))
+            return F.when(t.rlike(pattern), own).otherwise(F.struct(F.chr(i + 65).alias("label"), t.alias("text")))
+
+        return once(trimmed(x), told)
 
     return F.coalesce(F.transform(_col(options), one), F.expr("cast(array() as array<struct<label:string,text:string>>)"))
 
@@ -100,56 +109,64 @@ def option_labels(answer: str | Column, kind: str | Column, options: Column) ->
     Labels stay, labels in a broken LaTeX shell are taken out, and values are replaced by the label of the one option they
     equal. A multiple choice needs at least two values, each equal to one option, none twice.
     """
-    first = F.struct(
-        unwrapped_math(answer).alias("raw"),
-        math_key(answer).alias("key"),
-        F.transform(options, lambda o: F.struct(o["label"].alias("label"), math_key(o["text"]).alias("key"))).alias("options"),
-    )
-    return once(first, lambda x: once(_label_parts(x), lambda p: _option_labels(p, is_multiple(kind))))
+    first = F.struct(unwrapped_math(answer).alias("raw"), F.transform(options, lambda o: o["label"]).alias("labels"))
+    return once(first, lambda x: _by_label(x, options, is_multiple(kind)))
 
 
-def _label_parts(x: Column) -> Column:
-    """What the rules of option_labels look at, from the bare answer, its key and the options with theirs."""
-    raw = x["raw"]
-    equal = lambda key: F.transform(F.filter(x["options"], lambda o: o["key"] == key), lambda o: o["label"])
-    values = F.filter(F.transform(F.split(raw, "[，,、;；]+"), trimmed), lambda v: v != "")
-    payload = F.upper(F.regexp_replace(F.regexp_replace(raw, r"\\[A-Za-z]+\s*", ""), f"[{{}}\\[\\]().,，、;；:_{SPACE}]", ""))
-    return F.struct(
-        F.transform(x["options"], lambda o: o["label"]).alias("labels"),
-        F.upper(F.regexp_replace(raw, f"[{SPACE}]+", "")).alias("plain"),
-        F.when(raw.rlike(r"^\s*\}|_") & ~raw.rlike(r"[0-9+\-=^]"), payload).alias("payload"),
-        F.arrays_overlap(F.transform(F.regexp_extract_all(raw, F.lit(r"\\([A-Za-z]+)"), F.lit(1)), F.lower), F.array(*map(F.lit, UNSAFE_COMMANDS))).alias("unsafe"),
-        equal(x["key"]).alias("single"),
-        F.transform(F.transform(values, math_key), equal).alias("hits"),
-    )
+def _out(ok: bool, reason: str, value: Column | None = None) -> Column:
+    return F.struct(F.lit(ok).alias("ok"), (F.lit("") if value is None else value).alias("answer"), F.lit(reason).alias("reason"))
 
 
-def _option_labels(p: Column, multiple_choice: Column) -> Column:
-    out = lambda ok, reason, value=None: F.struct(F.lit(ok).alias("ok"), (F.lit("") if value is None else value).alias("answer"), F.lit(reason).alias("reason"))
-    known = lambda text: F.size(F.array_except(F.regexp_extract_all(text, F.lit("[A-F]"), F.lit(0)), p["labels"])) == 0
-    plain, payload, hits, single = p["plain"], p["payload"], p["hits"], p["single"]
-    shell = payload.isNotNull()
-    bad = F.get(F.filter(F.transform(hits, F.size), lambda n: n != 1), F.lit(0))
-    found = F.transform(hits, lambda h: F.get(h, F.lit(0)))
-    in_order = F.array_join(F.filter(p["labels"], lambda x: F.array_contains(found, x)), "")
-    multiple = (
-        F.when((F.size(hits) >= 2) & (bad > 1), out(False, "ambiguous-multiple-option-value"))
-        .when((F.size(hits) >= 2) & (bad == 0), out(False, "multiple-option-value-not-matched"))
-        .when((F.size(hits) >= 2) & (F.size(F.array_distinct(found)) == F.size(found)), out(True, "multiple-option-values-converted", in_order))
-        .otherwise(out(False, "multiple-option-value-rejected"))
-    )
-    return (
-        F.when(plain.rlike("^[A-F]+$") & known(plain), out(True, "already-option-label", plain))
-        .when(plain.rlike("^[A-F]+$"), out(False, "invalid-option-label"))
-        .when(shell & p["unsafe"], out(False, "unsafe-math-command"))
-        .when(shell & payload.rlike("^[A-F]+$") & known(payload), out(True, "structural-option-label-normalized", payload))
-        .when(shell & payload.rlike("^[A-F]+$"), out(False, "invalid-structural-option-label"))
-        .when(F.size(p["labels"]) <= 0, out(False, "options-missing"))
-        .when(multiple_choice, multiple)
-        .when(F.size(single) == 1, out(True, "option-value-converted", F.get(single, F.lit(0))))
-        .when(F.size(single) > 1, out(False, "ambiguous-option-value"))
-        .otherwise(out(False, "option-value-not-matched"))
-    )
+def _by_label(x: Column, options: Column, multiple_choice: Column) -> Column:
+    """The rules of option_labels on the bare answer and the options' labels; values are compared only where no label decides."""
+    raw, labels = x["raw"], x["labels"]
+    known = lambda text: F.size(F.array_except(F.regexp_extract_all(text, F.lit("[A-F]"), F.lit(0)), labels)) == 0
+
+    def in_shell(payload: Column) -> Column:
+        unsafe = F.arrays_overlap(F.transform(F.regexp_extract_all(raw, F.lit(r"\\([A-Za-z]+)"), F.lit(1)), F.lower), F.array(*map(F.lit, UNSAFE_COMMANDS)))
+        return (
+            F.when(unsafe, _out(False, "unsafe-math-command"))
+            .when(payload.rlike("^[A-F]+$") & known(payload), _out(True, "structural-option-label-normalized", payload))
+            .when(payload.rlike("^[A-F]+$"), _out(False, "invalid-structural-option-label"))
+        )
+
+    payload = F.upper(F.regexp_replace(F.regexp_replace(raw, r"\\[A-Za-z]+\s*", ""), f"[{{}}\\[\\]().,，、;；:_{SPACE}]", ""))
+    # a shell has a brace or an underscore
+    shell = (raw.contains("_") | raw.contains("}")) & raw.rlike(r"^\s*\}|_") & ~raw.rlike(r"[0-9+\-=^]")
+    value = once(F.transform(options, lambda o: F.struct(o["label"].alias("label"), math_key(o["text"]).alias("key"))), lambda keyed: _by_value(raw, labels, keyed, multiple_choice))
+
+    def told(plain: Column) -> Column:
+        label = F.when(known(plain), _out(True, "already-option-label", plain)).otherwise(_out(False, "invalid-option-label"))
+        return F.when(plain.rlike("^[A-F]+$"), label).otherwise(F.coalesce(F.when(shell, once(payload, in_shell)), F.when(F.size(labels) <= 0, _out(False, "options-missing")), value))
+
+    return once(F.upper(F.translate(raw, _BLANKS, "")), told)
+
+
+def _by_value(raw: Column, labels: Column, keyed: Column, multiple_choice: Column) -> Column:
+    """The rules of option_labels on values; keyed options have (label, key)."""
+    equal = lambda key: F.transform(F.filter(keyed, lambda o: o["key"] == key), lambda o: o["label"])
+
+    def several(hits: Column) -> Column:
+        bad = F.get(F.filter(F.transform(hits, F.size), lambda n: n != 1), F.lit(0))
+        found = F.transform(hits, lambda h: F.get(h, F.lit(0)))
+        in_order = F.array_join(F.filter(labels, lambda x: F.array_contains(found, x)), "")
+        return (
+            F.when((F.size(hits) >= 2) & (bad > 1), _out(False, "ambiguous-multiple-option-value"))
+            .when((F.size(hits) >= 2) & (bad == 0), _out(False, "multiple-option-value-not-matched"))
+            .when((F.size(hits) >= 2) & (F.size(F.array_distinct(found)) == F.size(found)), _out(True, "multiple-option-values-converted", in_order))
+            .otherwise(_out(False, "multiple-option-value-rejected"))
+        )
+
+    def single(hit: Column) -> Column:
+        return (
+            F.when(F.size(hit) == 1, _out(True, "option-value-converted", F.get(hit, F.lit(0))))
+            .when(F.size(hit) > 1, _out(False, "ambiguous-option-value"))
+            .otherwise(_out(False, "option-value-not-matched"))
+        )
+
+    values = F.filter(F.transform(F.split(raw, "[，,、;；]+"), trimmed), lambda v: v != "")
+    hits = F.transform(F.transform(values, math_key), equal)
+    return F.when(multiple_choice, once(hits, several)).otherwise(once(once(_shell_key(raw), equal), single))
 
 
 def rejection_code(reason: str | Column) -> Column:
