@@ -36,16 +36,17 @@ def controlled_write(
     place = F.row_number().over(Window.partitionBy(doc).orderBy("ordinal"))
     number = question_number("question")
     numbered = drafts.withColumn("_p", place).withColumn("_q", F.when(number != "", number).otherwise(F.col("_p").cast("string")))
-    draft = numbered.groupBy(*key).agg(F.max(F.struct("_p", F.col("type").alias("kind"), A.labelled_options("options").alias("options"))).alias("_d"))
+    draft = numbered.groupBy(*key).agg(F.max(F.struct("_p", F.col("type").alias("kind"), "options")).alias("_d"))
     met = _first(legacy_answers, "answer", "la", legacy_fused, doc)
     for rows, field, name, fused in ((parser_answers, "answer", "pa", parser_fused), (legacy_solutions, "solution", "ls", legacy_fused), (parser_solutions, "solution", "ps", parser_fused)):
         met = met.join(_first(rows, field, name, fused, doc), key, "full_outer")
     joined = met.join(draft, key, "left").select(
-        *key, "la", "pa", "ls", "ps", F.col("_d")["kind"].alias("kind"), F.coalesce(F.col("_d")["options"], A.labelled_options(F.expr("cast(null as array<string>)"))).alias("options")
+        *key, "la", "pa", "ls", "ps", F.col("_d")["kind"].alias("kind"), F.col("_d")["options"].alias("options")
     )
     objective, pa, la = A.is_objective("kind"), F.col("pa").isNotNull(), has_text("la")
-    # the costly rules run only for the rows that their result decides
-    tried = joined.withColumn("_n", F.when(objective & ~la & pa, A.option_labels("pa", "kind", F.col("options"))))
+    # the costly rules run only for the rows that their result decides, and only their options are labelled
+    tried = joined.withColumn("options", F.when(objective & ~la & pa, A.labelled_options("options")))
+    tried = tried.withColumn("_n", F.when(objective & ~la & pa, A.option_labels("pa", "kind", F.col("options"))))
     tried = tried.withColumn("_c", F.when(~F.col("_n")["ok"], A.answer_quality("pa", F.transform("options", lambda o: o["label"]))))
     shown = F.coalesce(F.col("_c")["status"].isin("clean-label", "safe-wrapper-candidate"), F.lit(False))
     tried = tried.withColumn("_r", F.when(shown, A.option_labels(F.col("_c")["candidate"], "kind", F.col("options"))))

@@ -21,3 +21,11 @@ def test_labels_take_few_patterns(spark):
     odd = [("$$ { X+1 } $$", "x+1"), ("\\(x\\)", "x"), ("\\[ y \\]", "y"), ("{", ""), (" －１，　", "-１"), ("a}b", "a}b"), ("x$", "x")]
     keyed = spark.createDataFrame(odd, "t string, k string").where(A.math_key("t") != F.col("k"))
     assert keyed.count() == 0
+
+
+def test_only_tried_options_are_labelled(spark):
+    """A parser answer decides few questions: the options of all drafts are not labelled below the join."""
+    items = lambda name: spark.range(3).select(F.lit(1).alias("doc_id"), F.col("id").alias("ordinal"), F.col("id").cast("string").alias("question"), F.lit("A").alias(name))
+    drafts = spark.range(3).select(F.lit(1).alias("doc_id"), F.col("id").alias("ordinal"), F.col("id").cast("string").alias("question"), F.lit("单选题").alias("type"), F.array(F.col("id").cast("string")).alias("options"))
+    text = plan(controlled_write.controlled_write(drafts, items("answer"), items("solution"), items("answer"), items("solution")))
+    assert "chr(" in text and text.rindex("chr(") < text.index("Join ")
