@@ -29,3 +29,8 @@ def test_only_tried_options_are_labelled(spark):
     drafts = spark.range(3).select(F.lit(1).alias("doc_id"), F.col("id").alias("ordinal"), F.col("id").cast("string").alias("question"), F.lit("单选题").alias("type"), F.array(F.col("id").cast("string")).alias("options"))
     text = plan(controlled_write.controlled_write(drafts, items("answer"), items("solution"), items("answer"), items("solution")))
     assert "chr(" in text and text.rindex("chr(") < text.index("Join ")
+
+
+def test_bootstrap_is_dealt_out(spark):
+    scores = spark.range(9).coalesce(1).select(F.col("id").alias("document_id"), F.lit("t").alias("tag"), F.col("id").alias("m"))
+    assert "RepartitionByExpression" in plan(D.bootstrap_means(scores, "tag", "m"))
