@@ -11,6 +11,7 @@ from paperloom.functions import escapes
 from paperloom.operators import pages, refill
 from paperloom.operators import support_text as S
 from paperloom.plans.bank_queries import table
+from paperloom.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,7 +46,7 @@ def s23_parsed_questions(spark, sf_dir):
     items = F.concat(F.lit('[{"stem":"'), "p_name", tail, F.lit('","n":1},{"stem":"x"}]'))
     whole = F.when(F.col("p_size") % 2 == 0, items).otherwise(F.concat(F.lit('{"questions":'), items, F.lit("}")))
     raw = F.when(k % 7 == 0, F.concat(F.lit("{"), items)).when(k % 11 == 0, F.concat(F.lit('{"items":'), items, F.lit("}"))).otherwise(whole)
-    parsed = table(spark, sf_dir, "part").select(k, escapes.parse_questions(raw).alias("r")).select("p_partkey", "r.*")
+    parsed = spread(table(spark, sf_dir, "part"), "p_partkey").select(k, escapes.parse_questions(raw).alias("r")).select("p_partkey", "r.*")
     first = F.get_json_object(F.get("questions", F.lit(0)), "$.stem")
     return parsed.select("p_partkey", "ok", "method", "reason", "repairs", "commands", F.size("questions").alias("n"), first.alias("stem"))
 

@@ -34,3 +34,7 @@ def test_only_tried_options_are_labelled(spark):
 def test_bootstrap_is_dealt_out(spark):
     scores = spark.range(9).coalesce(1).select(F.col("id").alias("document_id"), F.lit("t").alias("tag"), F.col("id").alias("m"))
     assert "RepartitionByExpression" in plan(D.bootstrap_means(scores, "tag", "m"))
+
+
+def test_json_texts_are_dealt_out(spark):
+    assert "RepartitionByExpression" in plan(draft_queries.QUERIES["s23_parsed_questions"](spark, "/root/testdata/sf0.001"))
