@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.latex import clean_text, with_segments
 from paperloom.functions.text import question_number, trimmed
 from paperloom.operators.support import pick
+from paperloom.tables import spread
 
 # What stands for a formula not converted, tokens of images, commands that count as signs of a formula.
 OPEN_FORMULA = "\\[(?:公式图片(?:选项)?待转换|图片选项待转换)[^\\]]*\\]"
@@ -43,7 +44,7 @@ def merge_visual_drafts(drafts: DataFrame, visual: DataFrame, batch: str = "batc
     joined = keyed.join(first.select(batch, "_q", F.col("stem").alias("_stem"), F.col("options").alias("_options")), [batch, "_q"], "left").withColumn("_met", F.col("_options").isNotNull() | F.col("_stem").isNotNull())
     at = lambda stem, options, i: F.coalesce(F.col(stem) if i < 0 else F.get(options, F.lit(i)), F.lit(""))
     pairs = [F.struct(F.lit(i).alias("i"), at("stem", "options", i).alias("x"), at("_stem", "_options", i).alias("v")) for i in range(-1, OPTIONS)]
-    texts = joined.where("_met").select(id_col, F.explode(F.array(*pairs)).alias("_p")).select(id_col, "_p.*")
+    texts = spread(joined.where("_met"), id_col).select(id_col, F.explode(F.array(*pairs)).alias("_p")).select(id_col, "_p.*")
     for c in ("x", "v"):
         texts = with_segments(texts, c, f"_s{c}").withColumn(c, clean_text(f"_s{c}")).drop(f"_s{c}")
         texts = with_segments(texts, c, f"_s{c}")

@@ -38,3 +38,9 @@ def test_bootstrap_is_dealt_out(spark):
 
 def test_json_texts_are_dealt_out(spark):
     assert "RepartitionByExpression" in plan(draft_queries.QUERIES["s23_parsed_questions"](spark, "/root/testdata/sf0.001"))
+
+
+def test_visual_texts_are_dealt_out(spark):
+    drafts = spark.range(3).select(F.col("id").alias("draft_id"), F.lit(1).alias("batch_id"), F.col("id").cast("string").alias("question_number"), F.lit("x").alias("stem"), F.expr(f"cast(array() as {TEXTS})").alias("options"))
+    visual = drafts.select("batch_id", F.col("draft_id").alias("ordinal"), "question_number", "stem", "options")
+    assert "RepartitionByExpression" in plan(visual_merge.merge_visual_drafts(drafts, visual))
