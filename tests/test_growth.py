@@ -44,3 +44,10 @@ def test_visual_texts_are_dealt_out(spark):
     drafts = spark.range(3).select(F.col("id").alias("draft_id"), F.lit(1).alias("batch_id"), F.col("id").cast("string").alias("question_number"), F.lit("x").alias("stem"), F.expr(f"cast(array() as {TEXTS})").alias("options"))
     visual = drafts.select("batch_id", F.col("draft_id").alias("ordinal"), "question_number", "stem", "options")
     assert "RepartitionByExpression" in plan(visual_merge.merge_visual_drafts(drafts, visual))
+
+
+def test_answer_pages_are_read_once(spark):
+    page = spark.range(4).select((F.col("id") % 2).alias("doc_id"), F.col("id").alias("ordinal"), F.when(F.col("id") == 0, "答案：a\nx").otherwise("none").alias("text"))
+    found = support_text.answer_labels(page, spark.createDataFrame([(0, "1")], "doc_id long, question string"))
+    assert plan(found).count("Range (") == 1
+    assert sorted(map(tuple, found.collect())) == [(0, ["A"], 1, 1, "full"), (1, [], 0, 0, "fail-closed")]
