@@ -11,9 +11,10 @@ from paperloom.functions.text import SPACE, _col, normal_box, once, trimmed
 
 # Question markers, signs of broken glyphs, LaTeX and choices.
 QUESTION_MARK = f"(?:^|\\n)[{SPACE}]*(?:第[{SPACE}]*([0-9０-９]{{1,3}})[{SPACE}]*题|[（(][{SPACE}]*([0-9０-９]{{1,3}})[{SPACE}]*[)）]|([0-9０-９]{{1,3}})[{SPACE}]*[.．、:：)）])[{SPACE}]*"
-BAD_GLYPH = "[\\uFFFD□▯■▪▫◼◻\\uE000-\\uF8FF\\u0000-\\u0008\\u000B\\u000C\\u000E-\\u001F]"
-LATEX_SIGNAL = r"\\frac|\\sqrt|\\sin|\\cos|\\tan|\\angle|\\triangle|\\vec|\\overrightarrow|\\overline|\\subset|\\subseteq|\\in|\\cap|\\cup|\\pi|\\theta|\$[^$\n]+\$"
-CHOICE_SIGNAL = f"(?:^|\\n|[{SPACE}])[A-D][{SPACE}]*[.．、:：)）]"
+# Of each pattern the part that most characters fail comes first: usual characters, the sign of a command, the label's letter.
+BAD_GLYPH = "[[^\\u0020-\\u24FF\\u3000-\\u9FFF\\t\\n\\r]&&[\\uFFFD□▯■▪▫◼◻\\uE000-\\uF8FF\\u0000-\\u0008\\u000B\\u000C\\u000E-\\u001F]]"
+LATEX_SIGNAL = r"\\(?:frac|sqrt|sin|cos|tan|angle|triangle|vec|overrightarrow|overline|subset|subseteq|in|cap|cup|pi|theta)|\$[^$\n]+\$"
+CHOICE_SIGNAL = f"[A-DＡ-Ｄ](?<=(?:^|[{SPACE}])[A-DＡ-Ｄ])[{SPACE}]*[.．、:：)）]"
 MATH_SIGNALS = [r"\\(?:frac|sqrt|vec|overrightarrow|angle|triangle|sin|cos|tan|theta|alpha|beta|lambda)", r"\$", "[_^=]", "[≤≥≠∈⊂⊆∪∩√π]"]
 _WIDE, _NARROW = "０１２３４５６７８９", "0123456789"
 #: Non-characters, which no text holds: start of a block, end of its number, end of its marker.
@@ -70,7 +71,7 @@ def text_signals(text: str | Column) -> Column:
         F.length(t).alias("length"),
         F.regexp_count(t, F.lit(BAD_GLYPH)).alias("bad_glyphs"),
         F.regexp_count(t, F.lit(LATEX_SIGNAL)).alias("latex"),
-        F.regexp_count(F.translate(t, "ＡＢＣＤ", "ABCD"), F.lit(CHOICE_SIGNAL)).alias("choices"),
+        F.regexp_count(t, F.lit(CHOICE_SIGNAL)).alias("choices"),
         F.when(trimmed(t) == "", 0).otherwise(F.greatest(marks, F.lit(1))).alias("blocks"),
     )
 

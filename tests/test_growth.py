@@ -51,3 +51,11 @@ def test_answer_pages_are_read_once(spark):
     found = support_text.answer_labels(page, spark.createDataFrame([(0, "1")], "doc_id long, question string"))
     assert plan(found).count("Range (") == 1
     assert sorted(map(tuple, found.collect())) == [(0, ["A"], 1, 1, "full"), (1, [], 0, 0, "fail-closed")]
+
+
+def test_signals_copy_no_text(spark):
+    texts = [("A. x Ｂ、y\n\tC : D) xA.B.　D．", 5), ("AA.", 0), ("A", 0), (" A ．", 1)]
+    found = spark.createDataFrame(texts, "t string, n int").select("n", pages.text_signals("t").alias("s"))
+    assert "translate" not in plan(found.select("s.choices")) and all(r["n"] == r["s"]["choices"] for r in found.collect())
+    odd = [("�□▯■▪▫◼◻\x00\x08\x0b\x0c\x0e\x1f", 16), ("\t\n\r ~é中⓿　\U0001f600\x7f", 0)]
+    assert spark.createDataFrame(odd, "t string, n int").where(pages.text_signals("t")["bad_glyphs"] != F.col("n")).count() == 0
