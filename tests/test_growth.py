@@ -59,3 +59,22 @@ def test_signals_copy_no_text(spark):
     assert "translate" not in plan(found.select("s.choices")) and all(r["n"] == r["s"]["choices"] for r in found.collect())
     odd = [("�□▯■▪▫◼◻\x00\x08\x0b\x0c\x0e\x1f", 16), ("\t\n\r ~é中⓿　\U0001f600\x7f", 0)]
     assert spark.createDataFrame(odd, "t string, n int").where(pages.text_signals("t")["bad_glyphs"] != F.col("n")).count() == 0
+
+
+def _left_of_join(df):
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    return {c.split("#")[0] for c in node.children().apply(0).output().mkString(" ").split()}
+
+
+def test_decisions_join_narrow_rows(spark):
+    """Neither the entries of drafts nor lists of decisions go through a join."""
+    entry = F.struct(F.lit("stem").alias("field"), F.lit("manual").alias("status"), F.lit(1).alias("manual_edit_revision"), *[F.lit("s").alias(c) for c in ("source_id", "evidence_ref", "controlled_write_decision_id")], F.lit(True).alias("controlled_write_accepted"))
+    text, none = (lambda c: F.lit("x").alias(c)), F.expr(f"cast(array() as {TEXTS})")
+    drafts = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("version"), *map(text, ("type", "source_mode", "question_number", "stem", "answer", "solution")), none.alias("options"), none.alias("images"), F.array(entry, entry).alias("provenance"))
+    contexts = spark.range(3).select(F.col("id").cast("string").alias("draft_id"), *map(text, ("mode", "actor_id", "request_id", "idempotency_key")), F.lit(True).alias("explicit_confirmation"), F.lit(True).alias("package_schema_valid"))
+    decided = admission.evaluate_admission(drafts, contexts)
+    assert "_s_stem" in _left_of_join(decided) and not {"provenance", "stem"} & _left_of_join(decided)
+    told = spark.createDataFrame(decided.collect(), decided.schema)
+    assert "field_decisions" not in _left_of_join(admission.validate_decisions(told, told))
