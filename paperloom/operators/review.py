@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import has_text, question_number
-from paperloom.tables import written
 
 
 def skeleton_authority(lists: DataFrame, numbers: str = "a") -> DataFrame:
@@ -40,25 +39,26 @@ def candidate_package(candidates: DataFrame, expected: DataFrame, doc: str = "do
     number). With expected numbers the longest prefix of them that candidates have is taken, of a repeated number the last
     candidate; without, all candidates in order. batches has (doc, outcome, total, prefix_truncated); outcome is the
     first of raw-json-candidate-rejected (any candidate), candidate-prefix-empty, candidate-provenance-missing (a taken one
-    lacks its source or provenance), else accepted. drafts has (doc, order, id, number, version) of accepted documents.
+    lacks its source or provenance), else accepted. drafts has (doc, order, id, number, version) of accepted documents. A row
+    without document is in no draft.
     """
     fields = F.struct("id", F.coalesce("number", F.lit("")).alias("number"), F.coalesce("version", F.lit(1)).alias("version"), (~has_text("source_mode") | ~has_text("source_id") | F.col("provenance").isNull()).alias("_lacks"))
-    numbered = candidates.select(doc, "ordinal", question_number("number").alias("_q"), fields.alias("_c"), F.coalesce("raw_json", F.lit(False)).alias("_raw"))
+    numbered = candidates.select(doc, "ordinal", question_number("number").alias("_q"), fields.alias("_c"), F.coalesce("raw_json", F.lit(False)).alias("_raw"), F.lit(False).alias("_asked"))
     wanted = expected.select(doc, "ordinal", question_number("number").alias("_q")).where("_q != ''")
-    last = numbered.groupBy(doc, "_q").agg(F.max_by("_c", "ordinal").alias("_c"))
-    upto = Window.partitionBy(doc).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = wanted.join(last, [doc, "_q"], "left").withColumn("_gap", F.max(F.col("_c").isNull()).over(upto)).where("NOT _gap").select(doc, "ordinal", "_c")
-    whole = numbered.join(wanted.select(doc).distinct(), doc, "left_anti").select(doc, "ordinal", "_c")
-    taken = written(prefix.unionByName(whole).withColumn("order", F.row_number().over(Window.partitionBy(doc).orderBy("ordinal"))))
-    counts = taken.groupBy(doc).agg(F.count("*").alias("_n"), F.max("_c._lacks").alias("_lacks"))
-    asked = wanted.groupBy(doc).agg(F.count("*").alias("_e"))
-    raw = numbered.groupBy(doc).agg(F.max("_raw").alias("_raw"))
-    joined = raw.join(asked, doc, "full_outer").join(counts, doc, "left")
-    n = F.coalesce("_n", F.lit(0))
-    outcome = F.when(F.col("_raw"), "raw-json-candidate-rejected").when(n == 0, "candidate-prefix-empty").when(F.col("_lacks"), "candidate-provenance-missing").otherwise("accepted")
-    batches = joined.select(doc, outcome.alias("outcome"), F.when(outcome == "accepted", n).otherwise(0).alias("total"), ((outcome == "accepted") & (F.coalesce("_e", F.lit(0)) > n)).alias("prefix_truncated"))
+    wanted = wanted.select("*", F.lit(None).cast(numbered.schema["_c"].dataType).alias("_c"), F.lit(False).alias("_raw"), F.lit(True).alias("_asked"))
+    # both are dealt by document once and read in its windows; the first one's order is that of the numbers' windows, so both take one sort
+    whole = Window.partitionBy(doc).orderBy("_q").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = numbered.unionByName(wanted).withColumns({"_any": F.max("_asked").over(whole), "_reject": F.max("_raw").over(whole)})
+    last = F.max_by("_c", F.when(~F.col("_asked"), F.col("ordinal"))).over(Window.partitionBy(doc, "_q"))
+    rows = rows.withColumn("_c", F.when(F.col("_asked"), last).otherwise(F.col("_c"))).where("_asked = _any")
+    inorder = Window.partitionBy(doc).orderBy("ordinal")
+    rows = rows.withColumns({"order": F.row_number().over(inorder), "_taken": ~F.max(F.col("_c").isNull()).over(inorder.rowsBetween(Window.unboundedPreceding, 0))})
+    lacks = F.max(F.col("_taken") & F.col("_c._lacks"))
+    totals = rows.groupBy(doc).agg(F.max("_reject").alias("_reject"), F.when(F.col(doc).isNull(), 0).otherwise(F.count_if("_taken")).alias("_n"), F.count_if("_asked").alias("_e"), lacks.alias("_lacking"))
+    outcome = F.when(F.col("_reject"), "raw-json-candidate-rejected").when(F.col("_n") == 0, "candidate-prefix-empty").when(F.col("_lacking"), "candidate-provenance-missing").otherwise("accepted")
+    batches = totals.select(doc, outcome.alias("outcome"), F.when(outcome == "accepted", F.col("_n")).otherwise(0).alias("total"), ((outcome == "accepted") & (F.col("_e") > F.col("_n"))).alias("prefix_truncated"))
     made = F.concat_ws("_", F.lit("draft"), F.col(doc).cast("string"), "order")
-    drafts = taken.join(batches.where("outcome = 'accepted'").select(doc), doc, "left_semi")
+    drafts = rows.withColumn("_lacking", lacks.over(Window.partitionBy(doc))).where(F.col(doc).isNotNull() & F.col("_taken") & ~F.col("_reject") & ~F.col("_lacking"))
     return drafts.select(doc, "order", F.coalesce(F.when(has_text("_c.id"), F.col("_c.id")), made).alias("id"), F.col("_c.number").alias("number"), F.col("_c.version").alias("version")), batches
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.functions import answers as A
-from paperloom.operators import admission, controlled_write, pages, support_text, visual_merge
+from paperloom.operators import admission, controlled_write, pages, review, support_text, visual_merge
 from paperloom.operators import document_scoring as D
 from paperloom.plans import draft_queries
 
@@ -78,3 +78,13 @@ def test_decisions_join_narrow_rows(spark):
     assert "_s_stem" in _left_of_join(decided) and not {"provenance", "stem"} & _left_of_join(decided)
     told = spark.createDataFrame(decided.collect(), decided.schema)
     assert "field_decisions" not in _left_of_join(admission.validate_decisions(told, told))
+
+
+def test_packages_are_read_in_windows(spark):
+    """Candidates and expected numbers are dealt by document once, not joined with each other."""
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(1).alias("ordinal"), F.lit("1").alias("number"), F.lit("x").alias("id"), F.lit(False).alias("raw_json"), *[F.lit("s").alias(c) for c in ("source_mode", "source_id", "provenance")], F.lit(1).alias("version"))
+    drafts, batches = review.candidate_package(rows, rows.select("doc_id", "ordinal", "number"))
+    for df in (drafts, batches):
+        assert "Join" not in plan(df)
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+        assert df.count() == 3
