@@ -3,10 +3,11 @@
 A set's sketch is the least hash of each of BANDS * ROWS equal ranges of hash values (one permutation, many bins), and
 ROWS neighbouring bins make a band. Sets of similarity 0.8 share no band with a chance of (1 - 0.8**3)**8 = 0.3 %.
 
-First each set is compared with the least of its buckets. A bucket that still holds several components is compared across
-these if it has up to SMALL sets. The sets of larger ones meet by their rarest hashes: of n hashes, a similar set must
-hold one of the n - ceil(similarity * n) + 1 that come first in the order of their counts. So no pair of sets that share
-a band and are similar is lost, however large the bucket, and only sets of different components are paired.
+First each set is compared with the least of its buckets. Buckets that still hold several components are compared across
+these: all pairs where a bucket has up to SMALL sets, in larger ones the sets outside the most frequent component with all
+others, in tiles. The join that pairs them keeps what an exact bound allows: a set's hashes are counted by parity in BITS
+bits, and the bits in which two sets differ are no more than the hashes in which they do. So no pair of sets that share a
+band and are similar is lost, however large the bucket; what is kept is compared by the texts.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 BROADCAST_ROWS = 500_000
 #: Sets in a bucket up to which those of different components are compared with each other.
 SMALL = 16
-#: Sets of a hash that one task pairs with all others of that hash.
+#: Sets of a bucket that one task pairs with all others of that bucket.
 TILE = 1000
+#: Bits of a set's parities, in words of 64.
+BITS = 1024
+_WORDS = [f"p{i}" for i in range(BITS // 64)]
 
 Hashes = Callable[[str | Column], Column]
 
@@ -57,12 +61,37 @@ def _needed(similarity: float) -> Column:
     return F.ceil((F.col("nu") + F.col("nv")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
 
 
+def _parities(sets: DataFrame, hashes: Hashes) -> DataFrame:
+    """(node, n, the words of its parities) of sets (node, line): n different hashes, each turning the bit that its lowest digits name."""
+    held = sets.select("node", F.explode(F.array_distinct(hashes("line"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.pmod(F.shiftright("h", 6), F.lit(len(_WORDS)))
+    words = [F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(p) for i, p in enumerate(_WORDS)]
+    return held.groupBy("node").agg(F.count("*").cast("int").alias("n"), *words)
+
+
+def _named(end: str) -> list[Column]:
+    """Columns of parities for one end of a pair."""
+    return [F.col("node").alias(end), F.col("n").alias(f"n{end}"), *[F.col(p).alias(f"{end}_{p}") for p in _WORDS]]
+
+
+def _possible(similarity: float) -> Column:
+    """Whether u and v can have the similarity by their sizes and parities: each bit that differs stands for a hash that only one has."""
+    differ = sum((F.bit_count(F.col(f"u_{p}").bitwiseXOR(F.col(f"v_{p}"))) for p in _WORDS), F.lit(0))
+    return (F.least("nu", "nv") >= _needed(similarity)) & (differ <= F.col("nu") + F.col("nv") - 2 * _needed(similarity))
+
+
+def _bounded(pairs: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v), with nu and nv, that can have the similarity."""
+    both = pairs.select("u", "v").join(parities.select(*_named("u")), "u").join(parities.select(*_named("v")), "v")
+    return both.where(_possible(similarity)).select("u", "v", "nu", "nv")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, hashes: Hashes) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least the similarity; texts are sent and hashed where they meet, being shorter than their sets."""
-    first = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("line").alias("lu"), F.col("n").alias("nu")), "u")
-    both = first.join(sets.select(F.col("node").alias("v"), F.col("line").alias("lv"), F.col("n").alias("nv")), "v")
+    """(u, v) of the pairs (u, v, nu, nv) whose shingle sets have at least the similarity; texts are sent and hashed where they meet, being shorter than their sets."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("line").alias("lu")), "u").join(sets.select(F.col("node").alias("v"), F.col("line").alias("lv")), "v")
     shared = F.size(F.array_intersect(hashes("lu"), hashes("lv")))
-    return both.where(F.least("nu", "nv") >= _needed(similarity)).where(shared >= _needed(similarity)).select("u", "v")
+    return both.where(shared >= _needed(similarity)).select("u", "v")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -76,10 +105,31 @@ def _several(rows: DataFrame) -> DataFrame:
     return materialize(matching(rows, materialize(keys), ["key"]))
 
 
-def _within(rows: DataFrame) -> DataFrame:
-    """(u, v): the pairs of rows (key, node, root) of one key that differ in root; for keys of few rows."""
-    other = rows.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-    return rows.withColumnRenamed("node", "u").join(other, "key").where("u < v AND root != rv").select("u", "v")
+def _across(rows: DataFrame, nodes: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, nu, nv): the pairs of rows (key, node, root, c) of one key that differ in root and can have the similarity.
+
+    Of a key with many rows those outside its most frequent component are paired with all others, TILE of them in a task.
+    A pair is made once, at the first band of `nodes` that its sets share.
+    """
+    large = rows.where(F.col("c") > SMALL)
+    roots = large.groupBy("key", "root").agg(F.count("*").alias("_k"))
+    keys = roots.groupBy("key").agg(F.max_by("root", F.struct("_k", "root")).alias("_main"), F.ceil((F.sum("_k") - F.max("_k")) / F.lit(TILE)).cast("int").alias("_tiles"))
+    told = large.join(keys, "key").select("key", "node", "root", "_main", "_tiles")
+    small = rows.where(F.col("c") <= SMALL).select("key", F.lit(0).alias("_t"), "node", "root", F.lit(None).cast("long").alias("_main"))
+    few = told.where("root != _main").select("key", F.pmod(F.xxhash64("node"), "_tiles").cast("int").alias("_t"), "node", "root", "_main")
+    every = told.select("key", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"), "node", "root", "_main")
+    banded = parities.join(nodes.select("node", *BAND_COLUMNS), "node")
+    ends = []
+    for end, df in ("u", small.unionAll(few)), ("v", small.unionAll(every)):
+        columns = [F.col(x).alias(f"{end}_{x}") for x in BAND_COLUMNS]
+        known = banded.select(*_named(end), *columns)
+        ends.append(df.select(F.col("key").alias(f"{end}_key"), F.col("_t").alias(f"{end}_t"), F.col("node").alias(end), F.col("root").alias(f"{end}_root"), F.col("_main").alias(f"{end}_main")).join(known, end))
+    first = F.coalesce(*[F.when(F.col(f"u_{x}") == F.col(f"v_{x}"), F.col(f"u_{x}")) for x in BAND_COLUMNS])
+    once = (F.col("u") < F.col("v")) | F.coalesce(F.col("v_root") == F.col("u_main"), F.lit(False))
+    met = (F.col("u_key") == F.col("v_key")) & (F.col("u_t") == F.col("v_t")) & (F.col("u_root") != F.col("v_root")) & once
+    pairs = ends[0].join(ends[1], met & (first == F.col("u_key")) & _possible(similarity))
+    turned = F.col("u") > F.col("v")
+    return pairs.select(*[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("u", "v"), ("v", "u"), ("nu", "nv"), ("nv", "nu"))])
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -91,29 +141,6 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.unionAll(moved.join(roots, "node", "left_anti").select("node", "root")))
 
 
-def _by_rare_hashes(rows: DataFrame, sets: DataFrame, similarity: float, hashes: Hashes) -> DataFrame:
-    """(u, v): the pairs of rows (node, root) that differ in root and can have the similarity by their sizes and rarest hashes.
-
-    Of a hash's sets those outside its most frequent component are paired with all others; these are the pairs across components.
-    """
-    held = sets.join(rows, "node").select("node", "root", "n", F.explode(F.array_distinct(hashes("line"))).alias("h"))
-    held = materialize(held)
-    counts = held.groupBy("h").agg(F.count("*").alias("c"))
-    # a hash of one set is no candidate, but has its place in the order
-    ordered = F.array_sort(F.collect_list(F.struct("c", "h")))
-    first = held.join(counts, "h").groupBy("node", "root", "n").agg(ordered.alias("o"))
-    first = first.select("node", "root", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))).alias("x"))
-    first = materialize(first.where("x.c > 1").select("node", "root", "n", F.col("x.h").alias("h")))
-    roots = first.groupBy("h", "root").agg(F.count("*").alias("c"))
-    hashes_ = roots.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("_main"), F.sum("c").alias("_all"), F.max("c").alias("_most"), F.count("*").alias("_n")).where("_n > 1")
-    hashes_ = materialize(hashes_.select("h", "_main", F.ceil((F.col("_all") - F.col("_most")) / F.lit(TILE)).cast("int").alias("_tiles")))
-    met = first.join(hashes_, "h")
-    few = met.where("root != _main").select("h", F.pmod(F.xxhash64("node"), "_tiles").cast("int").alias("_t"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("nu"))
-    every = met.select("h", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nv"))
-    pairs = every.join(few, ["h", "_t"]).where("ra != rb").where(F.least("nu", "nv") >= _needed(similarity))
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-
-
 def similar_sets(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Hashes, similarity: float = SIMILARITY, *, more: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes in components of similar sets; nodes without a similar one have no row.
 
@@ -126,12 +153,9 @@ def similar_sets(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], hash
     tested = met.where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     tested = materialize((tested if more is None else tested.unionAll(more.select("u", "v"))).distinct())
     wanted = met.select("node") if more is None else met.select("node").unionAll(tested.select("u")).unionAll(tested.select("v"))
-    sets = materialize(texts(materialize(wanted.distinct())).withColumn("n", F.size(F.array_distinct(hashes("line")))))
-    roots = materialize(connected_components(materialize(_similar(tested, sets, similarity, hashes))))
+    sets = materialize(texts(materialize(wanted.distinct())))
+    parities = materialize(_parities(sets, hashes))
+    roots = materialize(connected_components(materialize(_similar(_bounded(tested, parities, similarity), sets, similarity, hashes))))
     rows = _several(_rooted(met, roots))
-    large = materialize(rows.where(F.col("c") > SMALL).select("node", "root").distinct())
-    pairs = _within(rows.where(F.col("c") <= SMALL))
-    if large.limit(1).count():
-        pairs = pairs.unionAll(_by_rare_hashes(large, sets, similarity, hashes))
-    new = materialize(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
+    new = materialize(_across(rows, nodes, parities, similarity).join(tested, ["u", "v"], "left_anti"))
     return _joined(roots, materialize(_similar(new, sets, similarity, hashes)))

@@ -147,6 +147,29 @@ def test_large_buckets_lose_no_pair_that_shares_a_band(spark, monkeypatch, seed,
     assert len(links) > 40 and all(a in root and root[a] == root.get(b) for a, b in links)
 
 
+def test_large_buckets_make_few_pairs(spark, monkeypatch):
+    """Of the variants of one line that meet but are not similar, few pairs are given to the comparison of texts."""
+    rng = random.Random(3)
+    words = [f"word{j:03d}xyz" for j in range(200)]
+    base = [rng.choice(words) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        line = list(base)
+        for at in rng.sample(range(40), 6):
+            line[at] = f"own{i:04d}{rng.randrange(10**4):04d}"
+        rows.append((i, " ".join(line)))
+    named = minhash.with_bands(spark.createDataFrame(rows, "node long, line string"), lines.character_hashes("line")).cache()
+    compared, compare = [], minhash._similar
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_similar", counted)
+    minhash.similar_sets(named.drop("line"), lambda wanted: named.select("node", "line").join(wanted, "node"), lambda t: lines.character_hashes(t)).collect()
+    assert sum(compared) < 3000
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.line_report(docs).count() == 0 and lines.dedup_lines(docs).count() == 0
