@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import answers as A
 from paperloom.functions.text import has_text, question_number, trimmed
 
 
-def _first(items: DataFrame, field: str, name: str, fused: DataFrame | None, doc: str) -> DataFrame:
-    """(doc, _q, name): the first item of each number, fused numbers left out."""
-    numbered = items.select(doc, question_number("question").alias("_q"), F.struct(F.col("ordinal").alias("o"), F.col(field).alias("v")).alias("_s")).where("_q != ''")
-    first = numbered.groupBy(doc, "_q").agg(F.min("_s").alias("_s")).select(doc, "_q", F.coalesce(F.col("_s")["v"], F.lit("")).alias(name))
-    return first if fused is None else first.join(_numbers(fused, doc), [doc, "_q"], "left_anti")
+def _open(doc: str, name: str) -> Column:
+    """Where a row without a document comes from; empty for all others."""
+    return F.when(F.col(doc).isNull(), name).otherwise("").alias("_open")
+
+
+def _told(rows: DataFrame, name: str, value: Column, doc: str) -> DataFrame:
+    """(doc, _q, _open, name) of the rows with a number; _open keeps rows without a document apart by where they come from."""
+    numbered = rows.select(doc, question_number("question").alias("_q"), _open(doc, name), value.alias(name))
+    return numbered.where("_q != ''")
 
 
 def _numbers(rows: DataFrame, doc: str) -> DataFrame:
@@ -32,17 +38,24 @@ def controlled_write(
     keeps its legacy answer; a parser answer must become option labels, at once or after its label is taken out. Others
     take the parser's answer before the legacy one. The answer is null where none is written.
     """
-    key = [doc, "_q"]
+    key = [doc, "_q", "_open"]
     place = F.row_number().over(Window.partitionBy(doc).orderBy("ordinal"))
     number = question_number("question")
     numbered = drafts.withColumn("_p", place).withColumn("_q", F.when(number != "", number).otherwise(F.col("_p").cast("string")))
-    draft = numbered.groupBy(*key).agg(F.max(F.struct("_p", F.col("type").alias("kind"), "options")).alias("_d"))
-    met = _first(legacy_answers, "answer", "la", legacy_fused, doc)
-    for rows, field, name, fused in ((parser_answers, "answer", "pa", parser_fused), (legacy_solutions, "solution", "ls", legacy_fused), (parser_solutions, "solution", "ps", parser_fused)):
-        met = met.join(_first(rows, field, name, fused, doc), key, "full_outer")
-    joined = met.join(draft, key, "left").select(
-        *key, "la", "pa", "ls", "ps", F.col("_d")["kind"].alias("kind"), F.col("_d")["options"].alias("options")
-    )
+    draft = numbered.withColumn("_open", _open(doc, "draft")).groupBy(*key).agg(F.max(F.struct("_p", F.col("type").alias("kind"), "options")).alias("_d"))
+    # the sources are dealt once, side by side
+    value = lambda field: F.struct(F.col("ordinal").alias("o"), F.col(field).alias("v"))
+    sources = [_told(items, name, value(field), doc) for items, field, name in ((legacy_answers, "answer", "la"), (parser_answers, "answer", "pa"), (legacy_solutions, "solution", "ls"), (parser_solutions, "solution", "ps"))]
+    fused = {"l": legacy_fused, "p": parser_fused}
+    sources += [_told(rows, f"{side}_fused", F.lit(True), doc) for side, rows in fused.items() if rows is not None]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    met = rows.groupBy(*key).agg(*[F.min(c).alias(c) for c in rows.columns if c not in key])
+    # the first item of each number, fused numbers left out
+    free = {side: F.lit(True) if named is None else F.col(f"{side}_fused").isNull() for side, named in fused.items()}
+    first = [F.when(F.col(c).isNotNull() & free[c[0]], F.coalesce(F.col(c)["v"], F.lit(""))).alias(c) for c in ("la", "pa", "ls", "ps")]
+    met = met.select(*key, *first).where("coalesce(la, pa, ls, ps) IS NOT NULL")
+    # drafts that an explode has made are sized by the table they come from, so their join must not broadcast them
+    joined = met.join(draft.hint("merge"), key, "left").select(doc, "_q", "la", "pa", "ls", "ps", F.col("_d")["kind"].alias("kind"), F.col("_d")["options"].alias("options"))
     objective, pa, la = A.is_objective("kind"), F.col("pa").isNotNull(), has_text("la")
     # the costly rules run only for the rows that their result decides, and only their options are labelled
     tried = joined.withColumn("options", F.when(objective & ~la & pa, A.labelled_options("options")))

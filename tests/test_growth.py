@@ -31,6 +31,19 @@ def test_only_tried_options_are_labelled(spark):
     assert "chr(" in text and text.rindex("chr(") < text.index("Join ")
 
 
+def test_exploded_drafts_are_not_broadcast(spark):
+    """An explode's rows are sized by its input: their join would send millions of drafts to the driver."""
+    items = lambda name: spark.range(3).select(F.col("id").alias("doc_id"), F.col("id").alias("ordinal"), F.lit("5").alias("question"), F.lit("AB").alias(name))
+    drafts = spark.range(4).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("ordinal"))
+    drafts = drafts.select(F.expr("nullif(doc_id, 3)").alias("doc_id"), "ordinal", F.col("ordinal").cast("string").alias("question"), F.lit("解答").alias("type"), F.array(F.lit("x")).alias("options"))
+    nameless = items("answer").withColumn("doc_id", F.expr("nullif(doc_id, 2)"))
+    written = controlled_write.controlled_write(drafts, nameless, items("solution"), nameless, items("solution"), parser_fused=items("x").where("doc_id = 1"))
+    assert "Broadcast" not in written._jdf.queryExecution().executedPlan().toString()
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["answer"] or "", r["answer_source"], r["solution"] or "") for r in written.collect())
+    # without a document the sources' rows stay apart
+    assert got == [(-1, "AB", "legacy", ""), (-1, "AB", "parser", ""), (0, "AB", "parser", "AB"), (1, "AB", "legacy", "AB"), (2, "", "none", "AB")]
+
+
 def test_bootstrap_is_dealt_out(spark):
     scores = spark.range(9).coalesce(1).select(F.col("id").alias("document_id"), F.lit("t").alias("tag"), F.col("id").alias("m"))
     assert "RepartitionByExpression" in plan(D.bootstrap_means(scores, "tag", "m"))
