@@ -172,9 +172,10 @@ def links(distinct: DataFrame) -> DataFrame:
     many = counts.where(F.col("n") > DENSE).select("anchor", F.lit(None).cast("array<long>").alias("homes"))
     anchors = materialize(few.unionAll(many))
     copies = distinct.mapInArrow(_reach_batches, "anchor long, fp long")
+    # the copies, some 61 a fingerprint, are sized like their fingerprints and would be broadcast as the smaller table
     near = F.filter("homes", lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= THRESHOLD))
     met = materialize(
-        copies.join(anchors, "anchor").select("fp", near.alias("near"), F.col("homes").isNull().alias("dense")).where("dense OR size(near) > 0")
+        copies.join(anchors.hint("merge"), "anchor").select("fp", near.alias("near"), F.col("homes").isNull().alias("dense")).where("dense OR size(near) > 0")
     )
     compared = met.where("NOT dense").select(F.col("fp").alias("u"), F.explode("near").alias("v"))
     spread = met.where("dense").select("fp").distinct()

@@ -92,6 +92,15 @@ def test_links_of_close_fingerprints(spark, monkeypatch, dense):
     assert len({find(f) for f in signed}) == len(set(slow.values()))
 
 
+def test_copies_are_not_broadcast(spark, monkeypatch):
+    """The copies of fingerprints are sized like the fingerprints, though there are 61 for each."""
+    keep, plans = simhash.materialize, []
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    simhash.links(spark.createDataFrame([(1,), (2,)], "fp long"))
+    joins = [p for p in plans if "bit_count" in p]
+    assert joins and not any("Broadcast" in p for p in joins)
+
+
 def test_empty_nulls_and_repeats(spark):
     assert run(spark, []) == {}
     docs = spark.createDataFrame([(None, "a b c d", 0), (5, "a b c d", 0), (5, "a b c d", 0), (7, "q", None)], "doc_id long, text string, fp int")
