@@ -51,9 +51,9 @@ def with_bands(rows: DataFrame, hashes: Column) -> DataFrame:
 
 
 def matching(rows: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """rows joined to `wanted`, which is broadcast if its counted rows allow."""
+    """rows joined to `wanted`, which is broadcast if its counted rows allow; else neither is, for tables of numbers are far larger than their files."""
     small = wanted.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if small else wanted, on, how)
+    return rows.join(F.broadcast(wanted) if small else wanted.hint("merge"), on, how)
 
 
 def _needed(similarity: float) -> Column:
@@ -82,8 +82,8 @@ def _possible(similarity: float) -> Column:
 
 
 def _bounded(pairs: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v), with nu and nv, that can have the similarity."""
-    both = pairs.select("u", "v").join(parities.select(*_named("u")), "u").join(parities.select(*_named("v")), "v")
+    """The written pairs (u, v), with nu and nv, that can have the similarity."""
+    both = matching(parities.select(*_named("u")), pairs.select("u", "v"), ["u"]).join(parities.select(*_named("v")), "v")
     return both.where(_possible(similarity)).select("u", "v", "nu", "nv")
 
 
@@ -123,7 +123,8 @@ def _across(rows: DataFrame, nodes: DataFrame, parities: DataFrame, similarity:
     for end, df in ("u", small.unionAll(few)), ("v", small.unionAll(every)):
         columns = [F.col(x).alias(f"{end}_{x}") for x in BAND_COLUMNS]
         known = banded.select(*_named(end), *columns)
-        ends.append(df.select(F.col("key").alias(f"{end}_key"), F.col("_t").alias(f"{end}_t"), F.col("node").alias(end), F.col("root").alias(f"{end}_root"), F.col("_main").alias(f"{end}_main")).join(known, end))
+        # the copies that an explode makes for the tiles are sized too low
+        ends.append(df.select(F.col("key").alias(f"{end}_key"), F.col("_t").alias(f"{end}_t"), F.col("node").alias(end), F.col("root").alias(f"{end}_root"), F.col("_main").alias(f"{end}_main")).join(known.hint("merge"), end))
     first = F.coalesce(*[F.when(F.col(f"u_{x}") == F.col(f"v_{x}"), F.col(f"u_{x}")) for x in BAND_COLUMNS])
     once = (F.col("u") < F.col("v")) | F.coalesce(F.col("v_root") == F.col("u_main"), F.lit(False))
     met = (F.col("u_key") == F.col("v_key")) & (F.col("u_t") == F.col("v_t")) & (F.col("u_root") != F.col("v_root")) & once
@@ -141,21 +142,33 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.unionAll(moved.join(roots, "node", "left_anti").select("node", "root")))
 
 
-def similar_sets(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Hashes, similarity: float = SIMILARITY, *, more: DataFrame | None = None) -> DataFrame:
+def _linked(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Hashes, similarity: float) -> DataFrame:
+    """The written pairs (u, v) that have the similarity."""
+    sets = materialize(texts(materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())))
+    return materialize(_similar(_bounded(pairs, materialize(_parities(sets, hashes)), similarity), sets, similarity, hashes))
+
+
+def similar_sets(
+    nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], hashes: Hashes, similarity: float = SIMILARITY, *,
+    equal: DataFrame | None = None, more: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(node, root) of the nodes in components of similar sets; nodes without a similar one have no row.
 
     `nodes` has (node long, the BAND_COLUMNS), a row for each different text; `texts` gives (node, line) of the nodes
-    asked for in a DataFrame (node); `more` has further pairs (u, v) to compare, u < v. No rows give no rows.
+    asked for in a DataFrame (node); `equal` has further pairs (u, v) to compare, u < v; `more` gives others for the roots (node, root)
+    that are known once those and the buckets' stars are compared. No rows give no rows.
     """
     keys = nodes.select("node", F.explode(F.array_compact(F.array(*BAND_COLUMNS))).alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"))
     met = materialize(matching(keys, shared, ["key"]))
     tested = met.where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v"))
-    tested = materialize((tested if more is None else tested.unionAll(more.select("u", "v"))).distinct())
-    wanted = met.select("node") if more is None else met.select("node").unionAll(tested.select("u")).unionAll(tested.select("v"))
+    tested = materialize((tested if equal is None else tested.unionAll(equal.select("u", "v"))).distinct())
+    wanted = met.select("node") if equal is None else met.select("node").unionAll(tested.select("u")).unionAll(tested.select("v"))
     sets = materialize(texts(materialize(wanted.distinct())))
     parities = materialize(_parities(sets, hashes))
     roots = materialize(connected_components(materialize(_similar(_bounded(tested, parities, similarity), sets, similarity, hashes))))
+    if more is not None:
+        roots = _joined(roots, _linked(materialize(more(roots)), texts, hashes, similarity))
     rows = _several(_rooted(met, roots))
     new = materialize(_across(rows, nodes, parities, similarity).join(tested, ["u", "v"], "left_anti"))
     return _joined(roots, materialize(_similar(new, sets, similarity, hashes)))

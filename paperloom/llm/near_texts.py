@@ -7,6 +7,8 @@ copy a fingerprint some 871000 times. All candidates are compared exactly before
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +40,24 @@ def _text_keys(text_col: str) -> list[Column]:
     return [F.xxhash64(normal_text(text_col)).alias("h"), F.xxhash64(F.lit(1), normal_text(text_col)).alias("g")]
 
 
-def _simhash_pairs(texts: DataFrame, named: DataFrame, width: int) -> DataFrame:
-    """(u, v) of nodes with equal fingerprints or linked ones, each group of equal ones standing for its least node."""
+def _simhash_pairs(texts: DataFrame, named: DataFrame, width: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(u, v) of nodes with equal fingerprints, by the least of them; and a function that gives, for (node, root), those whose fingerprints are linked and whose roots differ.
+
+    The least node of a fingerprint stands for all of its nodes. Nodes that are known to be connected make no pair: a large group of near copies has very many.
+    """
     prints = simhash.simhash(texts, "h", "line", width).groupBy(F.col("doc_id").alias("h")).agg(F.min("fp").alias("fp"))
     printed = materialize(named.join(prints, "h").select("node", "fp"))
     least = materialize(printed.groupBy("fp").agg(F.min("node").alias("least")))
     same = printed.join(least, "fp").where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    far = simhash.links(least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("lu")), "u")
-    far = far.join(least.select(F.col("fp").alias("v"), F.col("least").alias("lv")), "v").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v"))
-    return same.unionAll(far).distinct()
+
+    def far(roots: DataFrame) -> DataFrame:
+        rooted = materialize(least.join(roots.select(F.col("node").alias("least"), "root"), "least", "left").select("fp", F.coalesce("root", "least").alias("root")))
+        # links come from an explode and are sized too low
+        ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"l{x}")).hint("merge") for x in "uv"]
+        met = simhash.links(rooted).join(ends[0], "u").join(ends[1], "v")
+        return met.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
+
+    return same, far
 
 
 def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +73,8 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return minhash.matching(texts.select("h", "g", "line"), named, ["h", "g"]).groupBy("node").agg(F.min("line").alias("line"))
 
     nodes = distinct.where("worded")
-    met = _simhash_pairs(texts.where("line != ''").select("h", "line"), nodes.select("node", "h"), width)
-    roots = minhash.similar_sets(nodes.select("node", *minhash.BAND_COLUMNS), lines, lambda t: shingle_hashes(t, width), similarity, more=met)
+    same, far = _simhash_pairs(texts.where("line != ''").select("h", "line"), nodes.select("node", "h"), width)
+    roots = minhash.similar_sets(nodes.select("node", *minhash.BAND_COLUMNS), lines, lambda t: shingle_hashes(t, width), similarity, equal=same, more=far)
     rooted = distinct.select("h", "g", "node", "least").join(roots, "node", "left").select("h", "g", "least", F.coalesce("root", "node").alias("root"))
     return texts.select("doc_id", "h", "g"), materialize(rooted)
 

@@ -147,42 +147,46 @@ def anchors_in_reach(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _home_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(home_anchors(fp)), batch.column(0)], ["anchor", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(home_anchors(fp)), *batch.columns], ["anchor", *batch.schema.names])
 
 
 def _reach_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
-            fp = whole.slice(at, 1024).column(0).to_numpy(zero_copy_only=False)
-            where, anchors = anchors_in_reach(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(fp[where])], ["anchor", "fp"])
+            batch = whole.slice(at, 1024)
+            where, anchors = anchors_in_reach(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(anchors), *[c.take(pa.array(where)) for c in batch.columns]], ["anchor", *batch.schema.names])
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v) between distinct fingerprints (fp long) such that those within two bits are connected by links.
 
+    Where `distinct` has a second column, root long, fingerprints of one root are known to be connected and get no link.
+
     At an anchor with up to DENSE homes every copy is compared with the homes: each pair within two bits is a link.
     Anchors with more homes are not compared pair by pair: what reaches them is spread to its 65 single-bit neighbours,
     itself included. Two fingerprints differ in at most two bits exactly if they share a neighbour, a neighbour has 65
     owners at most, and linking its owners to the least of them connects the same fingerprints with one row each.
     """
-    homes = distinct.mapInArrow(_home_batches, "anchor long, fp long")
+    held, root = distinct.columns, distinct.columns[-1]
+    schema = ", ".join(f"{c} long" for c in ("anchor", *held))
+    homes = distinct.mapInArrow(_home_batches, schema)
     counts = homes.groupBy("anchor").agg(F.count("*").alias("n"))
-    few = homes.join(counts.where(F.col("n") <= DENSE), "anchor").groupBy("anchor").agg(F.collect_list("fp").alias("homes"))
-    many = counts.where(F.col("n") > DENSE).select("anchor", F.lit(None).cast("array<long>").alias("homes"))
+    few = homes.join(counts.where(F.col("n") <= DENSE), "anchor").groupBy("anchor").agg(F.collect_list(F.struct(*held)).alias("homes"))
+    many = counts.where(F.col("n") > DENSE).select("anchor", F.lit(None).cast(few.schema["homes"].dataType).alias("homes"))
     anchors = materialize(few.unionAll(many))
-    copies = distinct.mapInArrow(_reach_batches, "anchor long, fp long")
+    copies = distinct.mapInArrow(_reach_batches, schema)
     # the copies, some 61 a fingerprint, are sized like their fingerprints and would be broadcast as the smaller table
-    near = F.filter("homes", lambda h: (h != F.col("fp")) & (F.bit_count(h.bitwiseXOR(F.col("fp"))) <= THRESHOLD))
+    near = F.filter("homes", lambda h: (h[root] != F.col(root)) & (F.bit_count(h["fp"].bitwiseXOR(F.col("fp"))) <= THRESHOLD))
     met = materialize(
-        copies.join(anchors.hint("merge"), "anchor").select("fp", near.alias("near"), F.col("homes").isNull().alias("dense")).where("dense OR size(near) > 0")
+        copies.join(anchors.hint("merge"), "anchor").select(*held, F.transform(near, lambda h: h["fp"]).alias("near"), F.col("homes").isNull().alias("dense")).where("dense OR size(near) > 0")
     )
     compared = met.where("NOT dense").select(F.col("fp").alias("u"), F.explode("near").alias("v"))
-    spread = met.where("dense").select("fp").distinct()
+    spread = met.where("dense").select(*held).distinct()
     flips = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.when(i == 64, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    shared = spread.select("fp", F.explode(flips).alias("near")).groupBy("near").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    joined = shared.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).select("u", "v").where("u != v").distinct()
-    return compared.select("u", "v").unionAll(joined)
+    shared = spread.select(*held, F.explode(flips).alias("near")).groupBy("near").agg(F.collect_list(F.struct(*held)).alias("fps")).where("size(fps) > 1")
+    joined = shared.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where(F.col("u")[root] != F.col("v")[root]).select("u.fp", F.col("v.fp").alias("v"))
+    return compared.unionAll(joined.distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -101,6 +101,16 @@ def test_copies_are_not_broadcast(spark, monkeypatch):
     assert joins and not any("Broadcast" in p for p in joins)
 
 
+@pytest.mark.parametrize("dense", [64, 2])
+def test_known_components_make_no_links(spark, monkeypatch, dense):
+    """A group of near copies makes a link for each pair; between those that are known to be connected there is none."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    known = [(1 << b, 0) for b in range(20)] + [(1 << 20, 7)]
+    met = simhash.links(spark.createDataFrame(known, "fp long, root long")).collect()
+    assert met and all((u == 1 << 20) != (v == 1 << 20) for u, v in met)
+    assert len(met) <= 2 * 20
+
+
 def test_empty_nulls_and_repeats(spark):
     assert run(spark, []) == {}
     docs = spark.createDataFrame([(None, "a b c d", 0), (5, "a b c d", 0), (5, "a b c d", 0), (7, "q", None)], "doc_id long, text string, fp int")
